@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.common import n_words, stored
+    from veilspark.llm.mixing import mix
+
+    sized = stored(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
+    return mix(sized, size=F.col("size")).select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.simhash import near_duplicates
 
