@@ -74,6 +74,11 @@ def _log_factorial(x: Column) -> Column:
     return F.when(x < 8, F.element_at(small, F.least(x, F.lit(7)).cast("int") + 1)).otherwise(large)
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` out of `total` are among the `marked`, at probability u of its distribution.
 
@@ -84,16 +89,34 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     var = mean * (1 - marked / F.greatest(total, F.lit(1))) * (total - drawn) / F.greatest(total - 1, F.lit(1))
     far = F.ceil(9 * F.sqrt(F.greatest(var, F.lit(0.0)))) + 9
     a, b = F.greatest(lo, (F.floor(mean) - far).cast("long")), F.least(hi, (F.ceil(mean) + far).cast("long"))
-    mode = F.least(F.greatest(F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("long"), lo), hi)
+    mode = F.least(F.greatest(F.floor((drawn + 1.0) * (marked + 1.0) / (total + 2)).cast("long"), lo), hi)
+
+    def log_weight(v: Column, x: Column) -> Column:
+        return -(_log_factorial(x) + _log_factorial(v["k"] - x) + _log_factorial(v["n"] - x) + _log_factorial(v["t"] - v["k"] - v["n"] + x))
+
+    def pick(v: Column) -> Column:
+        weights = F.transform(F.sequence(v["a"], v["b"]), lambda x: F.exp(log_weight(v, x) - v["top"]))
+        return _let(weights, lambda w: _let(F.aggregate(w, F.lit(0.0), lambda s, y: s + y) * v["u"], lambda part: F.least(v["a"] + below(w, part), v["b"])))
+
+    def below(w: Column, part: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("k"))
+        return F.aggregate(w, start, lambda s, y: F.struct((s["c"] + y).alias("c"), (s["k"] + F.when(s["c"] + y < part, 1).otherwise(0)).cast("long").alias("k")), lambda s: s["k"])
 
-    def log_weight(x: Column) -> Column:
-        return -(_log_factorial(x) + _log_factorial(marked - x) + _log_factorial(drawn - x) + _log_factorial(total - marked - drawn + x))
+    v = F.struct(total.alias("t"), marked.alias("k"), drawn.alias("n"), a.alias("a"), b.alias("b"), mode.alias("mode"), u.alias("u"))
+    v = _let(v, lambda v: v.withField("top", log_weight(v, v["mode"])))
+    return F.when(lo >= hi, lo).otherwise(_let(v, pick))
 
-    weights = F.transform(F.sequence(a, b), lambda x: F.exp(log_weight(x) - log_weight(mode)))
-    mass = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("k"))
-    below = F.aggregate(weights, start, lambda s, w: F.struct((s["c"] + w).alias("c"), (s["k"] + F.when(s["c"] + w < u * mass, 1).otherwise(0)).cast("long").alias("k")), lambda s: s["k"])
-    return F.when(lo >= hi, lo).otherwise(F.least(a + below, b))
+
+def _step(seed: int, level: int):
+    """Of the slots left, those of the i-th source that go left; the rest of the node is drawn from next."""
+
+    def step(s: Column, i: Column) -> Column:
+        k = F.element_at(F.col("counts"), i)
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), i), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = hypergeometric(s["total"], k, s["drawn"], u).cast("long")
+        return _let(drawn, lambda x: F.struct((s["total"] - k).alias("total"), (s["drawn"] - x).alias("drawn"), F.concat(s["out"], F.array(x)).alias("out")))
+
+    return step
 
 
 def split_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -106,14 +129,9 @@ def split_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     for level in range(shards.bit_length() - 1):
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, k: s + k)
 
-        def step(s: Column, i: Column, level: int = level) -> Column:
-            k = F.element_at(F.col("counts"), i)
-            u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), i), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-            x = hypergeometric(s["total"], k, s["drawn"], u)
-            return F.struct((s["total"] - k).alias("total"), (s["drawn"] - x).cast("long").alias("drawn"), F.concat(s["out"], F.array(x.cast("long"))).alias("out"))
-
         start = F.struct(total.alias("total"), F.floor(total / 2).cast("long").alias("drawn"), F.array().cast("array<bigint>").alias("out"))
-        left = F.when(F.size("counts") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("counts"), F.lit(1))), start, step, lambda s: s["out"])).otherwise(F.array().cast("array<bigint>"))
+        left = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("counts"), F.lit(1))), start, _step(seed, level), lambda s: s["out"])
+        left = F.when(F.size("counts") > 0, left).otherwise(F.array().cast("array<bigint>"))
         nodes = nodes.select("node", "counts", F.explode(F.array(left)).alias("left"))
         right = F.zip_with("counts", "left", lambda c, x: c - x)
         half = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("counts")))
