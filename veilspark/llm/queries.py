@@ -40,6 +40,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.language import identify, remainder
+
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    named = identify(table(spark, sf_dir, "documents"), ~held_out)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
