@@ -48,6 +48,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.vectors import near_vectors
+
+    v = near_vectors(table(spark, sf_dir, "embeddings"))
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    return v.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
