@@ -62,6 +62,18 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.common import new_path
+    from veilspark.llm.warc import archive, read_archive
+
+    path = new_path(spark, "warc")
+    archive(table(spark, sf_dir, "pages"), path)
+    r = read_archive(spark, path)
+    key = lambda c: F.expr(f"try_cast(regexp_extract({c}, ':([-0-9]*):[0-9a-f]*>$', 1) as bigint)")
+    size = F.coalesce(F.length("payload"), F.col("http_length")).cast("long")
+    return r.select(key("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", key("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
