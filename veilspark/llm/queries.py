@@ -40,6 +40,44 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.tokenfiles import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").select("doc_id", "n_tokens")
+
+
+#: verdict, host, path
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.urls import judge, prefix_rule
+
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), [prefix_rule(*r) for r in URL_RULES])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = """
+WITH rules(verdict, h, p) AS (VALUES {rules}),
+u AS (
+  SELECT page_id, row_number() OVER () AS n,
+    coalesce(translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+)
+SELECT u.page_id, u.host, u.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule,
+  coalesce(arg_max(r.verdict, length(r.h || r.p)), 'allow') AS verdict
+FROM u LEFT JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)
+GROUP BY u.n, u.page_id, u.host, u.path
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.language import identify, remainder
 
@@ -79,4 +117,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": OP6_SQL.format(rules=", ".join(map(str, URL_RULES)))}
