@@ -23,6 +23,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.katz import katz_scores
+    from veilspark.llm.language import remainder
+
+    s = katz_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return s.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.common import n_words, stored
     from veilspark.llm.mixing import mix
