@@ -36,11 +36,10 @@ def detect_by_words(text: Column) -> Column:
 def resolve_language(language: Column | None, text: Column, detector: Callable[[Column], Column] = detect_by_words) -> Column:
     """A supported code or alias as given; else what the detector says, if supported; else en. Never null."""
 
+    codes = F.create_map(*[F.lit(x) for k in SUPPORTED for x in (k, k)], *[F.lit(x) for kv in ALIASES.items() for x in kv])
+
     def clamp(c: Column) -> Column:
-        low = F.lower(F.trim(c))
-        for k, v in ALIASES.items():
-            low = F.when(low == k, v).otherwise(low)
-        return F.when(low.isin(SUPPORTED), low)
+        return F.try_element_at(codes, F.lower(F.trim(c)))
 
     given = clamp(language) if language is not None else F.lit(None).cast("string")
     return F.coalesce(given, F.when(text.rlike(r"(?U)\S"), clamp(detector(text))), F.lit("en"))

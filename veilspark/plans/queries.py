@@ -184,15 +184,15 @@ def _sum_sql(value: str, weights: list[int]) -> str:
     return "(" + " + ".join(f"{w} * substr({value}, {i + 1}, 1)::INT" for i, w in enumerate(weights)) + ")"
 
 
-def _derived(name: str, value: Column, value_sql: str, valid: Callable[[Column], Column], valid_sql: str) -> None:
+def _derived(name: str, value: Callable[[], Column], value_sql: str, valid: Callable[[Column], Column], valid_sql: str) -> None:
     @query(f"valid_{name}", f"WITH v AS (SELECT o_orderkey, {value_sql} AS value FROM orders) SELECT o_orderkey, value, coalesce({valid_sql}, false) AS valid FROM v")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"))
+        v = table(spark, sf_dir, "orders").select("o_orderkey", value().alias("value"))
         return v.withColumn("valid", valid(F.col("value")))
 
 
-def _pad(n: int, times: int = 1) -> tuple[Column, str]:
-    return F.lpad((F.col("o_orderkey") * times).cast("string"), n, "0"), f"lpad((o_orderkey * {times})::VARCHAR, {n}, '0')"
+def _pad(n: int, times: int = 1) -> tuple[Callable[[], Column], str]:
+    return lambda: F.lpad((F.col("o_orderkey") * times).cast("string"), n, "0"), f"lpad((o_orderkey * {times})::VARCHAR, {n}, '0')"
 
 
 _d = lambda i: f"substr(value, {i}, 1)::INT"
@@ -215,16 +215,25 @@ _derived(
 )
 _derived(
     "iban",
-    F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0")),
+    lambda: F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0")),
     "'DE' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad(o_orderkey::VARCHAR, 18, '0')",
     checksums.is_valid_iban,
     "(substr(value, 5) || '1314' || substr(value, 3, 2))::HUGEINT % 97 = 1",
 )
-_letters = [F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.floor(F.col("o_orderkey") / m) % 26 + 1).cast("int"), F.lit(1)) for m in (1, 3, 7, 11, 13)]
+
+
+def _letter(m: int) -> Column:
+    return F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.floor(F.col("o_orderkey") / m) % 26 + 1).cast("int"), F.lit(1))
+
+
+def _pan(last: Callable[[], Column]) -> Callable[[], Column]:
+    return lambda: F.concat(*[_letter(m) for m in (1, 3, 7, 11, 13)], F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), last())
+
+
 _letters_sql = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (o_orderkey // {m} % 26 + 1)::INT, 1)" for m in (1, 3, 7, 11, 13))
 _derived(
     "pan",
-    F.concat(*_letters, F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.floor(F.col("o_orderkey") / 2) % 26 + 1).cast("int"), F.lit(1))),
+    _pan(lambda: _letter(2)),
     _letters_sql + " || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', (o_orderkey // 2 % 26 + 1)::INT, 1)",
     checksums.is_valid_pan,
     "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (list_sum(list_transform(string_split(substr(value, 1, 9), ''), lambda c, i: i * (instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1))) % 36 + 1)::INT, 1) = substr(value, 10, 1)",
@@ -258,34 +267,40 @@ def valid_vat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("valid", checksums.is_valid_vat(F.concat("country", "value")))
 
 
-def _in_sentence(entity: str, value: Column, value_sql: str, where: str = "true", pattern: str | None = None) -> None:
+def _in_sentence(entity: str, value: Callable[[], Column], value_sql: str, where: str = "true", pattern: str | None = None) -> None:
     """The entity found in a sentence around a value made from an order's key."""
     r = _recognizer(entity)
     source = f"(SELECT o_orderkey, 'Ref ' || {value_sql} || ' given, see below.' AS text FROM orders)"
 
     @query(f"detect_{entity.lower()}", spans_sql(source, "o_orderkey", "text", pattern or "(?ims)" + r.pattern, where))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = F.concat(F.lit("Ref "), value, F.lit(" given, see below."))
+        text = F.concat(F.lit("Ref "), value(), F.lit(" given, see below."))
         d = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
         return found(d, "o_orderkey", F.col("text"), recognize(F.col("text"), r))
 
 
-_key, _key_sql = F.col("o_orderkey").cast("string"), "o_orderkey::VARCHAR"
-_in_sentence("MEDICAL_RECORD_NUMBER", F.concat(F.lit("mrn-"), F.lpad(_key, 6, "0")), f"'mrn-' || lpad({_key_sql}, 6, '0')")
+_key_sql = "o_orderkey::VARCHAR"
+
+
+def _key() -> Column:
+    return F.col("o_orderkey").cast("string")
+
+
+_in_sentence("MEDICAL_RECORD_NUMBER", lambda: F.concat(F.lit("mrn-"), F.lpad(_key(), 6, "0")), f"'mrn-' || lpad({_key_sql}, 6, '0')")
 _in_sentence(
-    "ICD10_CODE", F.concat(F.substring(F.lit("EFSU9"), (F.col("o_orderkey") % 5 + 1).cast("int"), F.lit(1)), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("."), (F.col("o_orderkey") % 1000).cast("string")),
+    "ICD10_CODE", lambda: F.concat(F.substring(F.lit("EFSU9"), (F.col("o_orderkey") % 5 + 1).cast("int"), F.lit(1)), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("."), (F.col("o_orderkey") % 1000).cast("string")),
     "substr('EFSU9', (o_orderkey % 5 + 1)::INT, 1) || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '.' || (o_orderkey % 1000)::VARCHAR",
 )
 _in_sentence(
-    "HEALTH_PLAN_ID", F.concat(F.lit("plan "), F.when(F.col("o_orderkey") % 3 == 0, F.lit("GOLDEN")).otherwise(F.concat(F.lit("AB"), F.lpad(_key, 6, "0")))),
+    "HEALTH_PLAN_ID", lambda: F.concat(F.lit("plan "), F.when(F.col("o_orderkey") % 3 == 0, F.lit("GOLDEN")).otherwise(F.concat(F.lit("AB"), F.lpad(_key(), 6, "0")))),
     f"'plan ' || CASE WHEN o_orderkey % 3 = 0 THEN 'GOLDEN' ELSE 'AB' || lpad({_key_sql}, 6, '0') END",
     "regexp_matches(regexp_replace(value, '(?i)^(HPI|Plan)[- ]?', ''), '[0-9]')", r"(?ims)\b(?:HPI|Plan)[- ]?[A-Z0-9]{5,10}\b",
 )
-_in_sentence("VEHICLE_REG", F.concat(F.lit("MH "), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit(" ab "), F.lpad(_key, 4, "0")), f"'MH ' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || ' ab ' || lpad({_key_sql}, 4, '0')")
-_in_sentence("PAN_CARD", F.concat(*_letters, F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.lit("K")), _letters_sql + " || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || 'K'")
+_in_sentence("VEHICLE_REG", lambda: F.concat(F.lit("MH "), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit(" ab "), F.lpad(_key(), 4, "0")), f"'MH ' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || ' ab ' || lpad({_key_sql}, 4, '0')")
+_in_sentence("PAN_CARD", _pan(lambda: F.lit("K")), _letters_sql + " || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || 'K'")
 _in_sentence("US_ROUTING_NUMBER", *_pad(9), _sum_sql("value", [3, 7, 1] * 3) + " % 10 = 0")
 _in_sentence("PROVIDER_NPI", *_pad(10, 7919), LUHN_SQL.format(m="'80840' || value"))
-_cpf = F.regexp_replace(_pad(11, 104729)[0], r"^(\d{3})(\d{3})(\d{3})(\d{2})$", "$1.$2.$3-$4")
+_cpf = lambda: F.regexp_replace(_pad(11, 104729)[0](), r"^(\d{3})(\d{3})(\d{3})(\d{2})$", "$1.$2.$3-$4")
 _digits_sql = "regexp_replace(value, '[^0-9]', '', 'g')"
 _in_sentence(
     "BR_CPF", _cpf, f"regexp_replace({_pad(11, 104729)[1]}, '^(\\d{{3}})(\\d{{3}})(\\d{{3}})(\\d{{2}})$', '\\1.\\2.\\3-\\4')",
@@ -390,7 +405,7 @@ SELECT o_orderkey, ext, CASE ext WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' W
 )
 def file_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.array(*[F.lit(x) for x in (".PDF", ".docx", ".jpeg", ".tar.zip", ".csv", ".exe", "")])
-    path = F.concat(F.lit("Dir.x/File"), _key, F.get(ends, (F.col("o_orderkey") % 7).cast("int")))
+    path = F.concat(F.lit("Dir.x/File"), _key(), F.get(ends, (F.col("o_orderkey") % 7).cast("int")))
     o = table(spark, sf_dir, "orders").select("o_orderkey", path.alias("path"), (F.col("o_orderkey") * 104729 % 209715200).alias("length"))
     return o.select("o_orderkey", S.extension(F.col("path")).alias("ext"), S.file_kind(F.col("path")).alias("kind"), S.upload_status(F.col("length")).alias("status"))
 
@@ -676,8 +691,8 @@ def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("span_replace", "SELECT o_orderkey, 'key [' || 'KEY_MASKED] of ' || o_custkey AS redacted FROM orders")
 def span_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("key "), _key, F.lit(" of "), F.col("o_custkey").cast("string"))
-    span = F.struct(F.lit(4).alias("start"), (F.length(_key) + 4).cast("int").alias("end"), F.lit("KEY").alias("entity_type"), F.lit(1.0).alias("score"), F.lit(0).alias("src"))
+    text = F.concat(F.lit("key "), _key(), F.lit(" of "), F.col("o_custkey").cast("string"))
+    span = F.struct(F.lit(4).alias("start"), (F.length(_key()) + 4).cast("int").alias("end"), F.lit("KEY").alias("entity_type"), F.lit(1.0).alias("score"), F.lit(0).alias("src"))
     spans = F.when(F.col("o_orderkey").isNotNull(), F.array(span)).otherwise(no_spans())
     return table(spark, sf_dir, "orders").select("o_orderkey", replace_spans(text, spans, lambda s: mask_token(s["entity_type"], "LABEL")).alias("redacted"))
 
