@@ -88,7 +88,7 @@ def unigrams(n: int, v: int, counts_of_counts: np.ndarray, k: int) -> Unigrams:
 
 
 def _blocks(how: Katz):
-    """Rows (block, ids, lens, train, vocab, codes): tokens of many documents; codes number the sorted word hashes of vocab."""
+    """Rows (block, tokens, ids, lens, train, vocab, code, codes) of many documents: sorted word hashes, the code of each, the tokens' codes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, size = WordHashes(how.memory), 0
@@ -96,9 +96,10 @@ def _blocks(how: Katz):
 
         def row() -> pd.DataFrame:
             lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            vocab, codes = np.unique(np.concatenate(tokens), return_inverse=True)
-            # codes by falling frequency compress best, but vocab stays sorted: its order is that of the word numbers
-            return pd.DataFrame([{"block": uuid.uuid4().int >> 65, "tokens": int(lens.sum()), "ids": ids, "lens": pack(lens), "train": pack(np.array(train, np.uint8)), "vocab": pack(vocab), "codes": pack(codes.astype(np.uint32))}])
+            vocab, codes, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            code = np.empty(len(vocab), np.uint32)  # of each word of vocab: by falling frequency, as that packs best
+            code[np.argsort(-n, kind="stable")] = np.arange(len(vocab))
+            return pd.DataFrame([{"block": uuid.uuid4().int >> 65, "tokens": int(lens.sum()), "ids": ids, "lens": pack(lens), "train": pack(np.array(train, np.uint8)), "vocab": pack(vocab), "code": pack(code), "codes": pack(code[codes])}])
 
         for b in batches:
             for key, text, t in zip(b["id"], b["t"], b["train"]):
@@ -117,11 +118,11 @@ def _blocks(how: Katz):
     return run
 
 
-BLOCK_SCHEMA = "block long, tokens long, ids array<long>, lens binary, train binary, vocab binary, codes binary"
+BLOCK_SCHEMA = "block long, tokens long, ids array<long>, lens binary, train binary, vocab binary, code binary, codes binary"
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the hash, so that word numbers given bucket after bucket rise with it."""
+    """Ranges of the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
@@ -131,14 +132,20 @@ def _ask_words(buckets: int):
             for r in b.itertuples():
                 vocab, codes = unpack(r.vocab, np.uint64), unpack(r.codes, np.uint32)
                 learned = np.repeat(unpack(r.train, np.uint8).astype(bool), unpack(r.lens, np.int64))
-                counts = np.bincount(codes[learned], minlength=len(vocab))
+                counts = np.bincount(codes[learned], minlength=len(vocab))[unpack(r.code, np.uint32)]
                 at = np.searchsorted(_bucket_of(vocab, buckets), np.arange(buckets + 1))
                 yield pd.DataFrame([{"bucket": i, "block": r.block, "words": pack(vocab[s:e]), "counts": pack(counts[s:e])} for i, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s])
 
     return run
 
 
-def _add_words(k: int):
+def word_numbers(counts: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    number, known = np.zeros(len(counts), np.int64), np.flatnonzero(counts > 0)
+    number[known[np.argsort(-counts[known], kind="stable")]] = np.arange(len(known)) * buckets + bucket + 1
+    return number
+
+
+def _add_words(k: int, buckets: int):
     """One row for a bucket: its words and counts, what was learned of them in all, and the places of each block's words."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -146,12 +153,13 @@ def _add_words(k: int):
         all_, at = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.zeros(len(all_), np.int64)
         np.add.at(counts, at, np.concatenate([unpack(x, np.int64) for x in p["counts"]]))
-        # words asked for but never learned have count 0 and no number
-        number = np.where(counts > 0, np.cumsum(counts > 0), 0)
+        bucket = int(p["bucket"].iloc[0])
+        # numbers of all buckets interleave, frequent words first; words asked for but never learned have none
+        number = word_numbers(counts, bucket, buckets)
         cuts = np.cumsum([len(x) for x in words])[:-1]
         replies = [pack(np.stack([number[a], counts[a]], axis=1).reshape(-1)) for a in np.split(at, cuts)]
         few = np.bincount(counts[(counts > 0) & (counts <= k + 1)], minlength=k + 2)[: k + 2]
-        return pd.DataFrame([{"bucket": int(p["bucket"].iloc[0]), "words": pack(all_), "counts": pack(counts), "v": int((counts > 0).sum()), "n": int(counts.sum()), "few": few.tolist(), "blocks": p["block"].tolist(), "replies": replies}])
+        return pd.DataFrame([{"bucket": bucket, "words": pack(all_), "counts": pack(counts), "v": int((counts > 0).sum()), "n": int(counts.sum()), "few": few.tolist(), "blocks": p["block"].tolist(), "replies": replies}])
 
     return run
 
@@ -159,19 +167,15 @@ def _add_words(k: int):
 WORD_SCHEMA = "bucket long, words binary, counts binary, v long, n long, few array<long>, blocks array<long>, replies array<binary>"
 
 
-def _number_words(base: np.ndarray):
-    """A block with the number (0: unknown) and count of each of its words."""
-
-    def run(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if b.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in NUMBERED_SCHEMA.split(", ")})
-        p = p.sort_values("bucket")
-        got = [unpack(x, np.int64).reshape(-1, 2) for x in p["reply"]]
-        number = np.concatenate([np.where(x[:, 0] > 0, x[:, 0] + base[i], 0) for i, x in zip(p["bucket"], got)])
-        r = b.iloc[0]
-        return pd.DataFrame([{"block": r.block, "ids": r.ids, "lens": r.lens, "train": r.train, "codes": r.codes, "number": pack(number), "counts": pack(np.concatenate(got)[:, 1].copy())}])
-
-    return run
+def _number_words(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    """A block with the number (0: unknown) and count of the word of each code."""
+    if b.empty:
+        return pd.DataFrame({c.split()[0]: [] for c in NUMBERED_SCHEMA.split(", ")})
+    r, p = b.iloc[0], p.sort_values("bucket")
+    got, code = np.concatenate([unpack(x, np.int64).reshape(-1, 2) for x in p["reply"]]), unpack(r.code, np.uint32)
+    by_code = np.empty_like(got)
+    by_code[code] = got
+    return pd.DataFrame([{"block": r.block, "ids": r.ids, "lens": r.lens, "train": r.train, "codes": r.codes, "number": pack(by_code[:, 0].copy()), "counts": pack(by_code[:, 1].copy())}])
 
 
 NUMBERED_SCHEMA = "block long, ids array<long>, lens binary, train binary, codes binary, number binary, counts binary"
@@ -189,8 +193,8 @@ class Pairs:
     of_token: np.ndarray  # -1 where the history is unknown
 
 
-def block_pairs(r, v: int, buckets: int, hot: int) -> Pairs:
-    """Numbers: 1..v words, v + 1 all unknown words, v + 2 the history of a text's start. `hot`: tokens from which a history is dealt by pair."""
+def block_pairs(r, top: int, buckets: int, hot: int) -> Pairs:
+    """Numbers: up to top words, top + 1 all unknown words, top + 2 the history of a text's start. `hot`: tokens from which a history is dealt by pair."""
     lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32).astype(np.int64)
     number, counts = unpack(r.number, np.int64), unpack(r.counts, np.int64)
     learned = np.repeat(unpack(r.train, np.uint8).astype(bool), lens)
@@ -203,7 +207,7 @@ def block_pairs(r, v: int, buckets: int, hot: int) -> Pairs:
     known = h != nv
     all_, at = np.unique(keys[known], return_inverse=True)
     hc, wc = all_ // (nv + 2), all_ % (nv + 2)
-    numbers = np.concatenate([number, [v + 1, v + 2]])
+    numbers = np.concatenate([number, [top + 1, top + 2]])
     totals = np.concatenate([counts, [0, hot]])
     n = np.bincount(at[learned[known]], minlength=len(all_))
     hn, wn = numbers[hc], numbers[wc]
@@ -218,11 +222,11 @@ def block_pairs(r, v: int, buckets: int, hot: int) -> Pairs:
     return Pairs(hn[order], wn[order], np.concatenate([counts, [0, 0]])[wc][order], n[order], bucket[order], of_token)
 
 
-def _ask_pairs(v: int, buckets: int, hot: int):
+def _ask_pairs(top: int, buckets: int, hot: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                p = block_pairs(r, v, buckets, hot)
+                p = block_pairs(r, top, buckets, hot)
                 at = np.searchsorted(p.bucket, np.arange(buckets + 1))
                 rows = []
                 for i, (s, e) in enumerate(zip(at[:-1], at[1:])):
@@ -313,13 +317,13 @@ def _answer_pairs(uni: Unigrams, d: np.ndarray, hot: pd.DataFrame):
     return run
 
 
-def _score(v: int, buckets: int, hot: int, uni: Unigrams):
+def _score(top: int, buckets: int, hot: int, uni: Unigrams):
     def run(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if b.empty:
             return pd.DataFrame({c: [] for c in names})
         r = next(b.itertuples())
-        pairs = block_pairs(r, v, buckets, hot)
+        pairs = block_pairs(r, top, buckets, hot)
         logs = np.concatenate([unpack(x, np.float32) for x in p.sort_values("bucket")["reply"]] or [np.empty(0, np.float32)]).astype(float)
         lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32)
         count = unpack(r.counts, np.int64)[codes]
@@ -359,38 +363,35 @@ def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
     blocks, block_path = table(rows.mapInPandas(_blocks(how), BLOCK_SCHEMA), "katz-blocks")
     tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     buckets = max(partitions(spark), -(-tokens // how.bucket_tokens))
-    asked = blocks.select("block", "lens", "train", "vocab", "codes").mapInPandas(_ask_words(buckets), "bucket long, block long, words binary, counts binary")
-    words, word_path = table(asked.groupBy("bucket").applyInPandas(_add_words(how.k), WORD_SCHEMA), "katz-unigrams")
+    asked = blocks.select("block", "lens", "train", "vocab", "code", "codes").mapInPandas(_ask_words(buckets), "bucket long, block long, words binary, counts binary")
+    words, word_path = table(asked.groupBy("bucket").applyInPandas(_add_words(how.k, buckets), WORD_SCHEMA), "katz-unigrams")
     learned = words.select("bucket", "v", "n", "few").collect()  # one row for each bucket
-    base = np.zeros(buckets, np.int64)
-    for r in learned:
-        base[r["bucket"]] = r["v"]
-    base = np.cumsum(base) - base
     n, v = sum(r["n"] for r in learned), sum(r["v"] for r in learned)
     uni = unigrams(n, v, np.sum([r["few"] for r in learned] or [[0] * (how.k + 2)], axis=0), how.k)
+    top = max([r["v"] for r in learned], default=0) * buckets
     hot = max(1, n // (4 * buckets), n // how.most_hot)
     replies = words.select("bucket", F.explode(F.arrays_zip("blocks", "replies")).alias("x")).select("bucket", F.col("x.blocks").alias("block"), F.col("x.replies").alias("reply"))
-    numbered = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_number_words(base), NUMBERED_SCHEMA)
+    numbered = blocks.drop("vocab", "tokens").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_number_words, NUMBERED_SCHEMA)
     numbered, numbered_path = table(numbered, "katz-numbered")
     drop_path(spark, block_path)
     schema = "bucket long, block long, h binary, w binary, wc binary, n binary"
-    asked = numbered.mapInPandas(_ask_pairs(v, buckets, hot), schema)
+    asked = numbered.mapInPandas(_ask_pairs(top, buckets, hot), schema)
     pairs, _ = table(asked.groupBy("bucket").applyInPandas(_add_pairs(how.k), PAIR_SCHEMA), "katz-bigrams")
     few = pairs.select(F.posexplode("few").alias("r", "x")).groupBy("r").agg(F.sum("x").alias("x")).collect()
     d = discounts(np.array([x for _, x in sorted(map(tuple, few))] or [0] * (how.k + 2)), how.k)
-    hot_words = words.mapInPandas(_hot_words(hot, base), "h long").toPandas()["h"].to_numpy(np.int64)  # at most n / hot
-    hot_words = np.append(hot_words, v + 2)
+    hot_words = words.select("bucket", "counts").mapInPandas(_hot_words(hot, buckets), "h long").toPandas()["h"].to_numpy(np.int64)  # at most n / hot
+    hot_words = np.append(hot_words, top + 2)
     sums = pairs.drop("blocks", "places").mapInPandas(_hot_sums(uni, d, hot_words), "h long, c double, kept double, p double")
     hot_sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c", "kept", "p")]).toPandas().sort_values("h").reset_index(drop=True)
     answers = pairs.mapInPandas(_answer_pairs(uni, d, hot_sums), "block long, bucket long, reply binary")
-    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(v, buckets, hot, uni), SCORE_SCHEMA)
+    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(top, buckets, hot, uni), SCORE_SCHEMA)
 
 
-def _hot_words(hot: int, base: np.ndarray):
+def _hot_words(hot: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
                 counts = unpack(r.counts, np.int64)
-                yield pd.DataFrame({"h": np.cumsum(counts > 0)[counts >= hot] + base[r.bucket]})
+                yield pd.DataFrame({"h": word_numbers(counts, r.bucket, buckets)[counts >= hot]})
 
     return run
