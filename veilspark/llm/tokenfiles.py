@@ -94,4 +94,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = stored(write_token_files(docs, folder, id_col, text_col, path), "token-files")
     names = [r[0] for r in listed.select("file").distinct().collect()]  # one for each task
     counted = scan_token_files(spark, folder, names)
-    return listed.join(counted, ["file", "doc_no"]).select("id", "n_tokens", "doc_no", "start")
+    # both sides grow with the corpus: never broadcast, however well they compress
+    return listed.join(counted.hint("merge"), ["file", "doc_no"]).select("id", "n_tokens", "doc_no", "start")
