@@ -11,14 +11,14 @@ from veilspark.llm.mixing import mix, mixed_rows
 from veilspark.llm.queries import packed
 from veilspark.llm.simhash import keep_one
 
-#: A document whose language has a lower score goes: most of its letters fit no language learned.
-LEAST_SCORE = 0.2
+#: A document whose language has a lower score goes: hardly any of its letters fit a language learned.
+LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; null, empty and letterless texts go."""
     learn_from = F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))
-    named = identify(docs.withColumn("__row", F.struct(*docs.columns)), learn_from)
+    named = identify(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), learn_from)
     return named.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
 
 
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at its target weights: a row for each time a document is taken, cut where a source's target ends within it."""
     taken = mixed_rows(mix(docs)).drop("__shard", "__place")
-    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else taken
+    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else taken
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     """
     how = how or Mix()
     size = n_words(F.col("text")) if size is None else size
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumn("h", F.xxhash64("id", "size", F.lit(how.seed)))
     n = docs.count()
     bits = min(max((n // GROUP_ROWS).bit_length(), 6), 20)

@@ -175,5 +175,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), made))
     named = near_duplicates(keyed.select("__id", text_col), "__id", text_col, **how)
     stay = named.filter("id = component").select(F.col("id").alias("__id")).distinct()
-    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")
     return keyed.join(stay, "__id", "left_semi").groupBy("__id").agg(least).select("r.*")
