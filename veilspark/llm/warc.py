@@ -140,6 +140,7 @@ class WarcReader(ds.DataSourceReader):
     (false: null); verify (true: a payload whose SHA-1 isn't the header's raises)."""
 
     def __init__(self, options: dict):
+        options = ds.CaseInsensitiveDict(options)
         self.path = options["path"]
         self.most = int(options.get("maxPartitionBytes", 128 << 20))
         self.payload = options.get("payload", "true").lower() == "true"
@@ -260,6 +261,7 @@ class WarcWriter(ds.DataSourceArrowWriter):
     manifest, which is written last. So a task that is lost or run twice leaves nothing that is read."""
 
     def __init__(self, options: dict, overwrite: bool):
+        options = ds.CaseInsensitiveDict(options)
         self.path, self.most, self.overwrite = options["path"], int(options.get("fileBytes", 256 << 20)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -363,4 +365,5 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
 def read_archive(spark: SparkSession, path: str, **options) -> DataFrame:
     register(spark)
-    return spark.read.format(FORMAT).options(**options).load(path)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return spark.read.format(FORMAT).options(**{"maxPartitionBytes": most} | options).load(path)
