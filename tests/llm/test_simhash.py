@@ -70,6 +70,18 @@ def test_large_buckets_are_covered_again_and_chunked(spark):
         assert got == want
 
 
+def test_every_bit_counts_alike(spark):
+    rng = random.Random(6)
+    fps, want = [], []
+    for i in range(64):
+        a = rng.getrandbits(64)
+        fps += [a, a ^ (1 << i) ^ (1 << (i + 7) % 64)]
+        want.append(tuple(sorted(fps[-2:])))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = {tuple(sorted((r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)))) for r in near_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert got == set(want)
+
+
 def test_keep_one(spark):
     docs = [*documents(10, 20), (None, "a text without an id that is long enough", "en", None, 1), (None, "a text without an id that is long enough", "en", None, 1)]
     df = spark.createDataFrame(docs, DOCS)

@@ -84,13 +84,16 @@ def _tables(df: DataFrame, masks: list[int], *keys: str) -> DataFrame:
 def _links(radius: int):
     """Of rows sorted by (g, fp), a spanning forest of the links within each g: never all pairs of a group."""
 
+    def within(x: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x.view(np.uint64)) <= radius  # of signed numbers it would count the magnitude's bits
+
     def forest(fps: np.ndarray) -> list[tuple[int, int]]:
         out, left = [], fps
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 x = queue.pop()
-                near = np.bitwise_count(left ^ x) <= radius
+                near = within(left ^ x)
                 if near.any():
                     found = left[near]
                     out.extend((int(x), int(y)) for y in found)
@@ -102,7 +105,7 @@ def _links(radius: int):
         at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
         size = np.diff(np.append(at, len(g)))
         two = at[size == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        two = two[within(fp[two] ^ fp[two + 1])]
         pairs = [(x, y) for s, n in zip(at[size > 2], size[size > 2]) for x, y in forest(np.unique(fp[s : s + n]))]
         more = np.array(pairs, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": np.concatenate([fp[two], more[:, 0]]), "b": np.concatenate([fp[two + 1], more[:, 1]])})
