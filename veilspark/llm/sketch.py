@@ -110,6 +110,10 @@ def sketches(docs: DataFrame, text_col: str = "text", how: Sketch | None = None)
     return docs.withColumn("fingerprint", run(F.col(text_col)))
 
 
+#: Ranges of ids at most; their bounds are held by the driver and each task.
+MOST_RANGES = 1 << 16
+
+
 def next_in_order(docs: DataFrame, id_col: str, text_col: str, each, schema: str) -> DataFrame:
     """Rows each(id, text, next id, next text) for every row of docs and the one after it in ascending id; after the last: the first.
 
@@ -118,12 +122,17 @@ def next_in_order(docs: DataFrame, id_col: str, text_col: str, each, schema: str
     waits for another and no task sees more than its range.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    n = max(1, 2 * partitions(docs.sparkSession))
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] if n > 1 else [0.5], 10 * n)).first()[0] or []
+    n = min(max(2, 2 * partitions(docs.sparkSession)), MOST_RANGES)
+    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     cuts = np.unique(np.array(cuts, np.int64))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if len(cuts) else F.array().cast("array<bigint>")
-    spot = F.size(F.filter(bounds, lambda c: c < key))
-    least = {r[0]: r[1] for r in docs.groupBy(spot.alias("r")).agg(F.min(key)).collect()}  # a row for each range
+
+    def first_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = b["k"].to_numpy(np.int64)
+            yield pd.DataFrame({"r": np.searchsorted(cuts, keys, "left"), "k": keys}).groupby("r", as_index=False).min()
+
+    firsts = docs.select(key.alias("k")).mapInPandas(first_ids, "r long, k long").groupBy("r").agg(F.min("k"))
+    least = {r[0]: r[1] for r in firsts.collect()}  # a row for each range
     ranges = sorted(least)
     before = {least[r]: ranges[i - 1] for i, r in enumerate(ranges)}
 
