@@ -455,7 +455,7 @@ def pattern_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECTED = [["EMAIL_ADDRESS"], ["EMAIL_ADDRESS", "PERSON"], ["CREDIT_CARD", "PERSON", "EU_VAT"], []]
 _details_sql = "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN '{{\"detected\":[{','.join(chr(34) + x + chr(34) for x in d)}]}}'" for i, d in enumerate(DETECTED)) + " END"
-LOGS_SQL = f"logs AS (SELECT event_id::INT AS id, (1 + user_id % 3)::INT AS org_id, user_id::INT AS user_id, event_type AS action, ts, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || user_id % 7 END AS ip_address, CASE WHEN event_id % 11 > 0 THEN {_details_sql} END AS details FROM events)"
+LOGS_SQL = f"logs AS (SELECT event_id::INT AS id, CASE event_type WHEN 'view' THEN 1 ELSE 2 END::INT AS org_id, (user_id * 20)::INT AS user_id, event_type AS action, ts, CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || user_id % 7 END AS ip_address, CASE WHEN event_id % 11 > 0 THEN {_details_sql} END AS details FROM events)"
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,37 +464,37 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = F.get(F.array(*[F.lit(json.dumps({"detected": d}, separators=(",", ":"))) for d in DETECTED]), (F.col("event_id") % 4).cast("int"))
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").cast("int").alias("id"), (1 + F.col("user_id") % 3).cast("int").alias("org_id"), F.col("user_id").cast("int").alias("user_id"), F.col("event_type").alias("action"), F.col("ts").alias("timestamp"),
+        F.col("event_id").cast("int").alias("id"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("org_id"), (F.col("user_id") * 20).cast("int").alias("user_id"), F.col("event_type").alias("action"), F.col("ts").alias("timestamp"),
         F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string"))).alias("ip_address"), F.when(F.col("event_id") % 11 > 0, details).alias("details"),
     )
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-    return c.select(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("username"), F.when(F.col("c_custkey") % 10 == 0, "admin").otherwise("user").alias("role"), (1 + F.col("c_nationkey") % 3).cast("int").alias("org_id"))
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("username"), F.when(F.col("c_mktsegment") == "BUILDING", "admin").otherwise("user").alias("role"), F.col("c_nationkey").cast("int").alias("org_id"))
 
 
-@query("list_users", "SELECT c_custkey::INT AS id, c_name AS username, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role FROM customer WHERE c_custkey % 2 = 0 AND 1 + c_nationkey % 3 = 1")
+@query("list_users", "SELECT c_custkey::INT AS id, c_name AS username, CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' ELSE 'user' END AS role FROM customer")
 def list_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.list_users(_users(spark, sf_dir), 1)
+    return A.list_users(_users(spark, sf_dir), None)
 
 
-@query("audit_recent_100", f'WITH {LOGS_SQL}, l AS (SELECT * FROM logs WHERE org_id = 1 ORDER BY ts DESC, id DESC LIMIT 100) SELECT l.id, l.ts AS "timestamp", l.action, l.ip_address, l.details, coalesce(c.c_name, l.user_id::VARCHAR) AS "user" FROM l LEFT JOIN customer c ON c.c_custkey = l.user_id AND c.c_custkey % 2 = 0')
+@query("audit_recent_100", f'WITH {LOGS_SQL}, l AS (SELECT * FROM logs ORDER BY ts DESC, id DESC LIMIT 100) SELECT l.id, l.ts AS "timestamp", l.action, l.ip_address, l.details, coalesce(c.c_name, l.user_id::VARCHAR) AS "user" FROM l LEFT JOIN customer c ON c.c_custkey = l.user_id')
 def audit_recent_100(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.recent_logs(_logs(spark, sf_dir), _users(spark, sf_dir), 1)
+    return A.recent_logs(_logs(spark, sf_dir), _users(spark, sf_dir), None)
 
 
 @query(
     "audit_analytics",
-    f"WITH {LOGS_SQL}, e AS (SELECT unnest(from_json(details, '{{\"detected\":[\"VARCHAR\"]}}').detected) AS entity FROM logs WHERE org_id = 1), c AS (SELECT entity, count(*) AS events FROM e GROUP BY entity) SELECT entity, events, floor(events * 100.0 / max(events) OVER () + 0.5)::INT AS percent FROM c",
+    f"WITH {LOGS_SQL}, e AS (SELECT unnest(from_json(details, '{{\"detected\":[\"VARCHAR\"]}}').detected) AS entity FROM logs), c AS (SELECT entity, count(*) AS events FROM e GROUP BY entity) SELECT entity, events, floor(events * 100.0 / max(events) OVER () + 0.5)::INT AS percent FROM c",
 )
 def audit_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.entity_analytics(_logs(spark, sf_dir), 1)
+    return A.entity_analytics(_logs(spark, sf_dir), None)
 
 
-@query("audit_csv", f"WITH {LOGS_SQL} SELECT id AS \"ID\", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"Timestamp\", user_id AS \"User ID\", action AS \"Action\", coalesce(ip_address, '') AS \"IP Address\", coalesce(details, '') AS \"Details\" FROM logs WHERE org_id = 1")
+@query("audit_csv", f"WITH {LOGS_SQL} SELECT id AS \"ID\", strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"Timestamp\", user_id AS \"User ID\", action AS \"Action\", coalesce(ip_address, '') AS \"IP Address\", coalesce(details, '') AS \"Details\" FROM logs")
 def audit_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.export_rows(_logs(spark, sf_dir), 1)
+    return A.export_rows(_logs(spark, sf_dir), None)
 
 
 @query(
@@ -531,11 +531,11 @@ def rate_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "api_key_verify",
-    "WITH k AS (SELECT 'pk_' || c_custkey AS key_id, c_nationkey::INT AS org_id, 100 AS rate_limit, sha256('sk_' || c_custkey) AS h FROM customer WHERE c_custkey % 3 > 0) SELECT o_orderkey, key_id, k.org_id, rate_limit::INT AS rate_limit FROM orders LEFT JOIN k ON k.h = sha256('sk_' || o_custkey)",
+    "WITH k AS (SELECT 'pk_' || c_custkey AS key_id, c_nationkey::INT AS org_id, 100 AS rate_limit, sha256('sk_' || c_custkey) AS h FROM customer WHERE c_acctbal > 0) SELECT o_orderkey, key_id, k.org_id, rate_limit::INT AS rate_limit FROM orders LEFT JOIN k ON k.h = sha256('sk_' || o_custkey)",
 )
 def api_key_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    keys = c.select(F.concat(F.lit("pk_"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").cast("int").alias("org_id"), F.lit(100).alias("rate_limit"), A.key_hash(F.concat(F.lit("sk_"), F.col("c_custkey").cast("string"))).alias("key_hash"), (F.col("c_custkey") % 3 > 0).alias("is_active"))
+    keys = c.select(F.concat(F.lit("pk_"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").cast("int").alias("org_id"), F.lit(100).alias("rate_limit"), A.key_hash(F.concat(F.lit("sk_"), F.col("c_custkey").cast("string"))).alias("key_hash"), (F.col("c_acctbal") > 0).alias("is_active"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("sk_"), F.col("o_custkey").cast("string")).alias("key"))
     return A.verify_keys(o, keys).select("o_orderkey", "key_id", "org_id", "rate_limit")
 
@@ -620,10 +620,10 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.array_join("pii_types", ",").alias("pii_types"))
 
 
-@query("unmapped_spans", f'WITH {WORDS_SQL}, {PAGES_SQL}, {SPANS_SQL}, kept AS (SELECT * FROM words WHERE word_idx % 2 = 0) SELECT doc_id, start, "end", entity_type FROM spans s WHERE NOT EXISTS (SELECT 1 FROM kept w WHERE w.doc_id = s.doc_id AND w.start < s."end" AND w."end" > s.start)')
+@query("unmapped_spans", f'WITH {WORDS_SQL}, {PAGES_SQL}, {SPANS_SQL}, kept AS (SELECT * FROM words WHERE length(word) < 18) SELECT doc_id, start, "end", entity_type FROM spans s WHERE NOT EXISTS (SELECT 1 FROM kept w WHERE w.doc_id = s.doc_id AND w.start < s."end" AND w."end" > s.start)')
 def unmapped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _words(spark, sf_dir)
-    return D.unmapped_spans(_page_spans(w), w.filter("word_idx % 2 = 0"), ["doc_id"]).select("doc_id", "start", "end", "entity_type")
+    return D.unmapped_spans(_page_spans(w), w.filter("length(word) < 18"), ["doc_id"]).select("doc_id", "start", "end", "entity_type")
 
 
 #: Four lines for each customer: perhaps a name, then perhaps a telephone number in the fourth.
@@ -638,7 +638,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_offsets(c.withColumn("text", text), ["c_custkey"], "line", "text")
 
 
-@query("header_name_rule", f'WITH {_lines_sql}, ok AS ({SQL["name_line"]}) SELECT c_custkey, 0::INT AS line, 0::INT AS start, length(line)::INT AS "end" FROM ok WHERE ok AND c_custkey % 3 = 0')
+@query("header_name_rule", f"""WITH {_lines_sql}, ok AS ({SQL["name_line"]}) SELECT c_custkey, 0::INT AS line, 0::INT AS start, length(line)::INT AS "end" FROM ok JOIN lines l USING (c_custkey) WHERE ok AND l.n = 3 AND l.text LIKE 'call%'""")
 def header_name_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.header_name_lines(_lines(spark, sf_dir), ["c_custkey"], "line")
 
