@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -29,8 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_applications: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's part of the shared folder, which goes when the driver's Python ends."""
+    app = f"{shared_dir(spark)}/veilspark/{spark.sparkContext.applicationId}"
+    if app not in _applications:
+        _applications.add(app)
+        atexit.register(_tidy, spark, app)
+    return f"{app}/{name}-{uuid.uuid4().hex}"
+
+
+def _tidy(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        drop_path(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
