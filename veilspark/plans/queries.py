@@ -40,6 +40,17 @@ def _re(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+#: Bytes for each core up to which a table is dealt out before heavy work on each row.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that may sit in fewer row groups than there are cores, dealt to all of them; a large one as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 # ---- detection ------------------------------------------------------------------------------------------------
 
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
@@ -71,7 +82,7 @@ def _of_documents(entity: str, where: str = "true"):
 
     @query(f"detect_{entity.lower()}", spans_sql("documents", "doc_id", "text", "(?ims)" + r.pattern, where))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents")
+        d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         return found(d, "doc_id", F.col("text"), recognize(F.col("text"), r))
 
 
@@ -83,7 +94,7 @@ _of_documents("CREDIT_CARD", "length(regexp_replace(value, '[^0-9]', '', 'g')) B
 @query("detect_custom_regex", spans_sql("documents", "doc_id", "text", IPV4))
 def detect_custom_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Policy(entities=[], custom=[("IPV4", IPV4), ("BROKEN", "(")])
-    return found(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), detect(F.col("text"), p))
+    return found(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", F.col("text"), detect(F.col("text"), p))
 
 
 MASKED = Policy(entities=["EMAIL_ADDRESS", "CREDIT_CARD"], custom=[("IPV4", IPV4)])
@@ -108,7 +119,7 @@ def _masking(style: str) -> None:
     @query(f"mask_{style.lower()}", sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = Policy(entities=MASKED.entities, custom=MASKED.custom, style=style)
-        m = mask(table(spark, sf_dir, "documents").select("doc_id", "text"), policy=p)
+        m = mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), policy=p)
         return m.select("doc_id", "found", "matches", F.array_join("types", ",").alias("types"), "redacted")
 
 
@@ -125,13 +136,13 @@ SELECT doc_id, CASE WHEN a + b > 0 THEN 'BLOCK' ELSE 'ALLOW' END AS action, (a +
 )
 def scan_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Policy(entities=["EMAIL_ADDRESS"], custom=[("IPV4", IPV4)])
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), policy=p).select("doc_id", "action", "count", F.array_join("types", ",").alias("types"))
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), policy=p).select("doc_id", "action", "count", F.array_join("types", ",").alias("types"))
 
 
 @query("mask_all_entities")
 def mask_all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sixteen entities at once: without SQL, as lookaheads and the fold over overlaps have none; tested against a plain loop."""
-    m = mask(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return m.select("doc_id", "found", "matches", F.array_join("types", ",").alias("types"), "redacted")
 
 
@@ -146,7 +157,7 @@ def mask_all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") SELECT doc_id, start, \"end\", name, level FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, start, \"end\" ORDER BY rank) = 1",
 )
 def heatmap_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(preview(F.col("text"))).alias("s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(preview(F.col("text"))).alias("s"))
     return d.select("doc_id", "s.start", "s.end", "s.name", "s.level")
 
 
@@ -261,7 +272,7 @@ _vat_sql = " UNION ALL ".join(
 
 @query("valid_vat", _vat_sql)
 def valid_vat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
     values = F.array(*[F.struct(F.lit(cc).alias("country"), F.expr(f"right(lpad(cast(o_orderkey * 7654321 as string), {n}, '0'), {n})").alias("value")) for cc, (n, *_) in VAT_SQL.items()])
     v = o.select("o_orderkey", F.explode(values).alias("x")).select("o_orderkey", "x.country", "x.value")
     return v.withColumn("valid", checksums.is_valid_vat(F.concat("country", "value")))
@@ -370,7 +381,7 @@ def resolved_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detect_language")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", resolve_language(None, F.col("text")).alias("language"))
 
 
@@ -578,7 +589,7 @@ SPANS_SQL = f"spans AS (SELECT * FROM ({_mail_spans}) UNION ALL SELECT * FROM ({
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("word_idx", "word"))
+    w = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(words).alias("word_idx", "word"))
     return D.with_offsets(w, ["doc_id"], "word_idx", "word")
 
 
@@ -684,7 +695,7 @@ def line_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source AS file, concat_ws(',', CASE WHEN sum(a) > 0 THEN 'EMAIL_ADDRESS' END, CASE WHEN sum(b) > 0 THEN 'IPV4' END) AS pii_detected, count(*) AS items_found FROM c WHERE a + b > 0 GROUP BY source""",
 )
 def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan(table(spark, sf_dir, "documents").select("source", "text"), policy=Policy(entities=["EMAIL_ADDRESS"], custom=[("IPV4", IPV4)]))
+    s = scan(spread(table(spark, sf_dir, "documents").select("source", "text")), policy=Policy(entities=["EMAIL_ADDRESS"], custom=[("IPV4", IPV4)]))
     r = D.discovery_report(s.filter("action = 'BLOCK'"), "source", "types")
     return r.select(F.col("source").alias("file"), F.array_join("pii_detected", ",").alias("pii_detected"), "items_found")
 
