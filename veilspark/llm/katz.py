@@ -33,7 +33,7 @@ END = 0x2D06800538D394C2
 class Katz:
     k: int = 5
     block_tokens: int = 1 << 20
-    bucket_tokens: int = 1 << 21
+    bucket_tokens: int = 1 << 20
     #: Histories with over N / most_hot tokens may be dealt by the pair; their sums, at most most_hot, come to the driver.
     most_hot: int = 1_000_000
     memory: int = 1 << 18
@@ -205,7 +205,9 @@ def block_pairs(r, top: int, buckets: int, hot: int) -> Pairs:
     h[starts] = nv + 1
     keys = h * (nv + 2) + w
     known = h != nv
+    del w, h, codes
     all_, at = np.unique(keys[known], return_inverse=True)
+    del keys
     hc, wc = all_ // (nv + 2), all_ % (nv + 2)
     numbers = np.concatenate([number, [top + 1, top + 2]])
     totals = np.concatenate([counts, [0, hot]])
@@ -217,7 +219,7 @@ def block_pairs(r, top: int, buckets: int, hot: int) -> Pairs:
     order = np.lexsort((wn, hn, bucket))
     place = np.empty(len(all_), np.int64)
     place[order] = np.arange(len(all_))
-    of_token = np.full(len(keys), -1)
+    of_token = np.full(len(known), -1)
     of_token[known] = place[at]
     return Pairs(hn[order], wn[order], np.concatenate([counts, [0, 0]])[wc][order], n[order], bucket[order], of_token)
 
