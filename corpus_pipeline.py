@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored
+from veilspark.llm.copies import keep_one_copy
 from veilspark.llm.language import UNDETERMINED, identify, remainder
 from veilspark.llm.mixing import mix, mixed_rows
 from veilspark.llm.queries import packed
-from veilspark.llm.simhash import keep_one
 
 #: A document whose language has a lower score goes: hardly any of its letters fit a language learned.
 LEAST_SCORE = 0.05
@@ -23,8 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document of least doc_id."""
-    return keep_one(docs)
+    """Keeps of each group of near duplicates the document of least doc_id.
+
+    Linked are texts of Jaccard similarity 0.8 or more in five-word shingles, and those of near SimHashes as in op4.
+    """
+    return keep_one_copy(docs, fingerprints=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
