@@ -57,3 +57,12 @@ def test_stage_removes_near_copies_at_0_8(spark, tmp_path):
     assert all(0.8 <= len(a & b) / len(a | b) < 0.95 for a, b in zip(sets[::2], sets[1::2]))
     got = P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(0, 40, 2))
+
+
+def test_two_texts_of_one_id_are_two_documents(spark, tmp_path):
+    rng = random.Random(8)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (2, b, "en", "s", 1), (None, a, "en", "s", 1), (None, None, "en", "s", 1)]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (1, a), (2, b)]
+    assert P.near_duplicates(spark, spark.createDataFrame([], DOCS), str(tmp_path)).count() == 0
