@@ -51,6 +51,19 @@ def test_links_and_components(spark, how):
     assert (np.array([got[i]["component"] for i in ids]) == parts).mean() > 0.97
 
 
+@pytest.mark.parametrize("block", [4096, 100])
+def test_a_search_that_stays_below_the_recall_asked_for_is_made_exact(spark, block):
+    x = table(3, 900)
+    rows = [(i, [float(y) for y in v], 0, "x", "y") for i, v in enumerate(x)]
+    how = Graph(shard_rows=40, sample=400, near=1, far=1, degree=1, beam=4, margin=0.0, probes=1, widenings=0, audit=8, block=block)
+    got = {r["id"]: r for r in near_vectors(spark.createDataFrame(rows, ROWS), how=how).collect()}
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    links, parts = brute(y, np.arange(900))
+    assert [got[i]["n_links"] for i in range(900)] == links.tolist()
+    assert [got[i]["component"] for i in range(900)] == parts.tolist()
+
+
 def test_troublesome_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (11, [3e38, 3e38])]

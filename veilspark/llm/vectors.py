@@ -5,7 +5,8 @@ second one; each shard links its members to near neighbours, pruned so that no e
 shorter one, and to some far ones. The adjacency lists of a vector's shards are joined. Every vector then
 searches the shards near it: greedily from the shard's medoids, then outward over everything in range. What is
 found is verified in double precision and counted in its home shard only, so no link counts twice. A sample is
-audited against brute force; below the recall asked for, the search is widened and repeated.
+audited against brute force after every round; below the recall asked for, the search is widened and repeated,
+and after the last widening all vectors are compared block by block.
 """
 
 from __future__ import annotations
@@ -40,7 +41,12 @@ class Graph:
     probes: int = 12
     #: Nodes this far below the threshold are still walked over while the range is expanded.
     slack: float = 0.05
+    #: Vectors first audited, linked ones that make an audit enough, vectors audited at most.
     audit: int = 256
+    linked: int = 100
+    audit_most: int = 16384
+    #: Vectors of a block of the exact search.
+    block: int = 4096
     recall: float = 0.97
     widenings: int = 2
     seed: int = 9
@@ -157,7 +163,7 @@ def greedy(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, q: np.ndarray, be
 
 
 def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.ndarray, lists: list, qid: np.ndarray, q: np.ndarray, how: Graph) -> pd.DataFrame:
-    """(id, found, root): the links of each query into the home members, by weight, and stars that join what is linked."""
+    """(id, found, links, root): the links of each query into the home members, by weight and distinct, and stars that join what is linked."""
     n = len(ids)
     place = pd.Series(np.arange(n), index=ids)
     adj = np.full((n, how.degree), -1)
@@ -169,7 +175,7 @@ def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.nd
     medoids = np.unique((centroids(x, k, how.seed, 4) @ x.T).argmax(axis=1))
     everyone, back = np.unique(np.concatenate([qid, ids]), return_inverse=True)
     q_at, n_at = back[: len(qid)], back[len(qid) :]
-    label, found = np.arange(len(everyone)), np.zeros(len(qid), np.int64)
+    label, found, links = np.arange(len(everyone)), np.zeros(len(qid), np.int64), np.zeros(len(qid), np.int64)
     low = how.threshold - how.slack
     for s in range(0, len(q), 1024):
         part = q[s : s + 1024]
@@ -189,13 +195,13 @@ def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.nd
             reached = np.concatenate(reached)
             hit = reached[(x[reached] @ part[i] >= how.threshold) & home[reached] & (ids[reached] != qid[s + i])]
             if len(hit):
-                found[s + i] = weight[hit].sum()
+                found[s + i], links[s + i] = weight[hit].sum(), len(hit)
                 mine = np.append(n_at[hit], q_at[s + i])
                 groups = np.unique(label[mine])
                 if len(groups) > 1:
                     label[np.isin(label, groups)] = groups[0]
-    stars = pd.DataFrame({"id": everyone, "found": 0, "root": everyone[label]})
-    counted = pd.DataFrame({"id": qid, "found": found, "root": qid})
+    stars = pd.DataFrame({"id": everyone, "found": 0, "links": 0, "root": everyone[label]})
+    counted = pd.DataFrame({"id": qid, "found": found, "links": links, "root": qid})
     return pd.concat([stars[stars["id"] != stars["root"]], counted[counted["found"] > 0]])
 
 
@@ -236,7 +242,7 @@ def _routed(c: np.ndarray, chunks: np.ndarray, how: Graph, queries: bool):
 def _search(how: Graph):
     def search(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if m.empty or q.empty:
-            return pd.DataFrame({"id": [], "found": [], "root": []}).astype("int64")
+            return pd.DataFrame({"id": [], "found": [], "links": [], "root": []}).astype("int64")
         m, q = m.sort_values("id"), q.sort_values("id")
         return search_shard(m["id"].to_numpy(), _matrix(m["v"]), m["home"].to_numpy(), m["n"].to_numpy(), list(m["near"]), q["id"].to_numpy(), _matrix(q["v"]), how)
 
@@ -268,30 +274,79 @@ def _one_dimension(reps: DataFrame, how: Graph) -> tuple[DataFrame, DataFrame]:
     lists = members.groupBy("shard").applyInPandas(link, "id long, near array<long>")
     union = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-graph")
     nodes = stored(members.join(union, "id"), "vector-nodes")
+    how = replace(how, probes=max(how.probes, round(how.probes * (len(c) / 64) ** 0.5)))
     for widening in range(how.widenings + 1):
         queries = reps.mapInPandas(_routed(c, chunks, how, True), schema).select("shard", "id", "v")
-        got = nodes.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(_search(how), "id long, found long, root long")
+        got = nodes.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(_search(how), LINKS)
         got = stored(got, "vector-links")
-        found = got.groupBy("id").agg(F.sum("found").alias("found"))
-        if widening == how.widenings or recall(reps, found, how) >= how.recall:
+        if recall(reps, got.groupBy("id").agg(F.sum("links").alias("links")), how, n) >= how.recall:
             break
         how = replace(how, beam=2 * how.beam, margin=2 * how.margin, probes=2 * how.probes)
-    return found, got.select("id", "root")
+    else:
+        got = stored(_exact(reps, n, how), "vector-exact")
+    return got.groupBy("id").agg(F.sum("found").alias("found")), got.select("id", "root")
+
+
+LINKS = "id long, found long, links long, root long"
+
+
+def _exact(reps: DataFrame, n: int, how: Graph) -> DataFrame:
+    """All links and stars: every pair of blocks is compared in a task of its own."""
+    k = max(1, -(-n // how.block))
+    own = F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(k)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("other")
+    dealt = reps.select("id", "n", "v", own.alias("own"), other).select("id", "n", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        ids, x, w = p["id"].to_numpy(), _matrix(p["v"]), p["n"].to_numpy()
+        left = np.flatnonzero(p["own"] == p["lo"])
+        right = np.flatnonzero(p["own"] == p["hi"])
+        found, links, label = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.arange(len(p))
+        same = p["lo"].iloc[0] == p["hi"].iloc[0]
+        for s in range(0, len(left), 512):
+            part = left[s : s + 512]
+            near = (x[part] @ x[right].T >= how.threshold) & (part[:, None] != right[None, :])
+            found[part] += near @ w[right]
+            links[part] += near.sum(axis=1)
+            if not same:
+                found[right] += near.T @ w[part]
+                links[right] += near.sum(axis=0)
+            for i in np.flatnonzero(near.any(axis=1)):
+                groups = np.unique(label[np.append(right[near[i]], part[i])])
+                if len(groups) > 1:
+                    label[np.isin(label, groups)] = groups[0]
+        out = pd.DataFrame({"id": ids, "found": found, "links": links, "root": ids[label]})
+        return out[(out["links"] > 0)]
 
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, LINKS)
 
-def recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
-    """Links found of an audited sample over those that brute force finds; 1 where there are none."""
-    drawn = reps.orderBy(F.xxhash64("id", F.lit(how.seed + 1))).limit(how.audit).select("id", "v").toPandas()
-    ids, x = drawn["id"].to_numpy(), _matrix(drawn["v"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            near = (x @ _matrix(b["v"]).T >= how.threshold) & (ids[:, None] != b["id"].to_numpy()[None, :])
-            yield pd.DataFrame({"id": ids, "there": near @ b["n"].to_numpy()})
+def recall(reps: DataFrame, found: DataFrame, how: Graph, n: int) -> float:
+    """Distinct links found of audited vectors over those of brute force: of all links or, if less, on average of the vectors.
 
-    there = reps.mapInPandas(count, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
-    r = there.join(found, "id", "left").agg(F.sum("there"), F.sum(F.coalesce("found", F.lit(0)))).first()
-    return r[1] / r[0] if r[0] else 1.0
+    More vectors are drawn until enough have links. Where even the most of them have none, 0 unless these are all vectors.
+    """
+    size = how.audit
+    while True:
+        drawn = reps.orderBy(F.xxhash64("id", F.lit(how.seed + 1))).limit(size).select("id", "v").toPandas()
+        ids, x = drawn["id"].to_numpy(), _matrix(drawn["v"])
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                there, other, v = np.zeros(len(ids), np.int64), b["id"].to_numpy(), _matrix(b["v"])
+                for s in range(0, len(ids), 1024):
+                    there[s : s + 1024] = ((x[s : s + 1024] @ v.T >= how.threshold) & (ids[s : s + 1024, None] != other[None, :])).sum(axis=1)
+                yield pd.DataFrame({"id": ids[there > 0], "there": there[there > 0]})
+
+        there = reps.select("id", "v").mapInPandas(count, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
+        own = F.coalesce("links", F.lit(0))
+        r = there.join(found, "id", "left").agg(F.count("*"), F.sum("there"), F.sum(own), F.avg(own / F.col("there"))).first()
+        if r[0] >= how.linked or size >= min(n, how.audit_most):
+            break
+        size = min(4 * size, max(how.audit, how.audit_most))
+    if not r[0]:
+        return 1.0 if size >= n else 0.0
+    return min(r[2] / r[1], r[3])
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", how: Graph | None = None) -> DataFrame:
