@@ -61,6 +61,14 @@ def test_same_ids_as_the_tokenizers_library():
         assert t.encode(x, add_special_tokens=False).ids == encode(x, vocabulary).tolist()
 
 
+def test_end_of_text_within_a_text_is_one_id():
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    for x in ("a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n", "<|endoftext", "x <|EndOfText|>"):
+        assert t.encode(x, add_special_tokens=False).ids == encode(x, vocabulary_path("byte_bpe_50k.tiktoken")).tolist()
+    assert max(encode("a<|endoftext|>b", vocabulary_path("byte_bpe_50k.tiktoken"), special=False)) < 50256  # for token files
+
+
 @pytest.mark.parametrize("kind", ["log", "short", "mid", "uniform"])
 def test_little_padding_for_any_lengths(kind):
     rng = np.random.default_rng(0)

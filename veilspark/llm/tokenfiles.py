@@ -35,7 +35,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         for b in batches:
             out = out or where.open_output_stream(f"{root}/{name}", compression=None)
             for t in b["t"]:
-                ids = encode(t, path)
+                ids = encode(t, path, special=False)  # the separator's id must not occur within
                 if len(ids) and ids.max() >= separator:
                     raise ValueError("a token's id is not below the separator")
                 out.write(np.append(ids, separator).astype("<u2").tobytes())
