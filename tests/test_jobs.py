@@ -55,9 +55,23 @@ def test_tables(spark, tmp_path):
         read_table(spark, f"file://{tmp_path}", "nothing")
 
 
-def test_the_rest_stands_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, pipeline):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "veilspark", tmp_path / "veilspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'mask_label' in q and 'pipeline' not in q and not [x for x in q if x.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_an_error_inside_the_corpus_operators_is_raised(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "veilspark", tmp_path / "veilspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "veilspark" / "llm").mkdir()
+    (tmp_path / "veilspark" / "llm" / "__init__.py").touch()
+    (tmp_path / "veilspark" / "llm" / "queries.py").write_text("import nothing_of_that_name\n")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode and b"nothing_of_that_name" in done.stderr
