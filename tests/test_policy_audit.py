@@ -67,3 +67,10 @@ def test_image_redaction_rows(spark):
     spans = spark.createDataFrame([("d", 5, 18, "EMAIL_ADDRESS")], "doc string, start int, end int, entity_type string")
     r = image_redactions(spans, lines, ["doc"]).collect()
     assert len(r) == 1 and (r[0]["word"], r[0]["x0"], r[0]["y0"], r[0]["x1"], r[0]["y1"]) == ("a@example.com", 49, -1, 181, 11)
+
+
+def test_a_missing_default_takes_the_shared_rows_state(spark):
+    rows = spark.createDataFrame([(1, 1, "PERSON", True), (2, None, "CREDIT_CARD", False)], P.SCHEMAS["dlp_policies"])
+    got = {r["pii_type"]: r["is_active"] for r in P.effective_policies(rows, 1).collect()}
+    assert not got["CREDIT_CARD"] and got["PERSON"] and got["EU_VAT"] and len(got) == 16
+    assert "CREDIT_CARD" not in {r[0] for r in P.active_types(rows, 1).collect()}

@@ -53,10 +53,17 @@ def missing_defaults(policies: DataFrame, entities: list[str] = DEFAULT_ENTITIES
 
 
 def effective_policies(policies: DataFrame, org_id: int | None) -> DataFrame:
-    """(pii_type, is_active): the organisation's or adopted rows, and the defaults that are missing, active."""
+    """(pii_type, is_active): the organisation's or adopted rows, and the defaults that are missing.
+
+    A missing default takes the state of the row of no organisation for its type, the first by id; without one it is active.
+    """
     own = of_org(policies, None) if org_id is None else adopted(policies, org_id)
     own = own.select("pii_type", "is_active")
-    return own.unionByName(missing_defaults(own))
+    missing = missing_defaults(own)
+    if org_id is not None:
+        shared = policies.filter("org_id is null").groupBy("pii_type").agg(F.min_by("is_active", "id").alias("shared"))
+        missing = missing.join(shared, "pii_type", "left").select("pii_type", F.coalesce("shared", "is_active").alias("is_active"))
+    return own.unionByName(missing)
 
 
 def active_types(policies: DataFrame, org_id: int | None) -> DataFrame:

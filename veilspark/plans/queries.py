@@ -423,7 +423,7 @@ def file_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- policies -------------------------------------------------------------------------------------------------
 
-POLICY_ROWS = [(1, 1, "PERSON", True), (2, 1, "EU_VAT", False), (3, None, "CREDIT_CARD", True), (4, None, "IP_ADDRESS", True), (5, 2, "URL", True), (6, 2, "PERSON", False)]
+POLICY_ROWS = [(1, 1, "PERSON", True), (2, 1, "EU_VAT", False), (3, None, "CREDIT_CARD", True), (4, None, "IP_ADDRESS", True), (5, 2, "URL", True), (6, 2, "PERSON", False), (7, None, "PHONE_NUMBER", False)]
 _policy_values = ", ".join(f"({i}, {'NULL' if o is None else o}, '{t}', {str(a).lower()})" for i, o, t, a in POLICY_ROWS)
 _default_values = ", ".join(f"('{e}')" for e in DEFAULT_ENTITIES)
 _policies_sql = f"WITH p(id, org_id, pii_type, is_active) AS (VALUES {_policy_values}), d(pii_type) AS (VALUES {_default_values}), orgs(o) AS (VALUES (1), (2), (3)), own AS (SELECT o, pii_type, is_active FROM orgs JOIN p ON p.org_id = o UNION ALL SELECT o, pii_type, is_active FROM orgs, p WHERE p.org_id IS NULL AND o NOT IN (SELECT org_id FROM p WHERE org_id IS NOT NULL))"
@@ -433,7 +433,7 @@ def _policies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICY_ROWS, P.SCHEMAS["dlp_policies"])
 
 
-@query("policy_effective", _policies_sql + " SELECT o::INT AS org_id, pii_type, is_active FROM own UNION ALL SELECT o::INT, pii_type, true FROM orgs, d WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.o = orgs.o AND own.pii_type = d.pii_type)")
+@query("policy_effective", _policies_sql + " SELECT o::INT AS org_id, pii_type, is_active FROM own UNION ALL SELECT o::INT, pii_type, coalesce((SELECT arg_min(p.is_active, p.id) FROM p WHERE p.org_id IS NULL AND p.pii_type = d.pii_type), true) FROM orgs, d WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.o = orgs.o AND own.pii_type = d.pii_type)")
 def policy_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [P.effective_policies(_policies(spark), o).select(F.lit(o).alias("org_id"), "pii_type", "is_active") for o in (1, 2, 3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -450,7 +450,7 @@ def policy_missing_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 c(org_id, pii_type, is_active) AS (VALUES (1, 'EU_VAT', true), (1, 'CREDIT_CARD', false), (2, 'CREDIT_CARD', true), (3, 'DATE_TIME', true))
 SELECT id, org_id::INT AS org_id, pii_type, is_active FROM (
   SELECT id, org_id, pii_type, CASE WHEN org_id = 1 AND pii_type = 'EU_VAT' THEN true WHEN id = 3 THEN false ELSE is_active END AS is_active FROM (SELECT id, CASE WHEN id = 3 THEN 1 ELSE org_id END AS org_id, pii_type, is_active FROM p)
-  UNION ALL SELECT 7, 2, 'CREDIT_CARD', true UNION ALL SELECT 8, 3, 'DATE_TIME', true)""",
+  UNION ALL SELECT 8, 2, 'CREDIT_CARD', true UNION ALL SELECT 9, 3, 'DATE_TIME', true)""",
 )
 def policy_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = spark.createDataFrame([(1, "EU_VAT", True), (1, "CREDIT_CARD", False), (2, "CREDIT_CARD", True), (3, "DATE_TIME", True)], "org_id int, pii_type string, is_active boolean")
