@@ -30,20 +30,46 @@ def test_document_job_cleans_up(spark, tmp_path):
 
 
 def test_archive_job(spark):
-    data = archive({"a.docx": docx(paragraph(("a@example.com", False))), "b.docx": b"broken", "c.csv": "left out", "d.pdf": b"as it is"})
+    pages = {"pdf": lambda content: (content.replace(b"b@example.com", b"*"), [("PDF Page Content", ["EMAIL_ADDRESS"])])}
+    data = archive({"a.docx": docx(paragraph(("a@example.com", False))), "b.docx": b"broken", "c.csv": "left out", "d.pdf": b"write b@example.com", "e.png": b"b@example.com"})
     files = spark.createDataFrame([("x.zip", data)], "path string, content binary")
-    z = zipfile.ZipFile(io.BytesIO(J.mask_archives(files, MAIL).first()["content"]))
-    assert sorted(z.namelist()) == ["error_b.docx.txt", "masked_a.docx", "masked_d.pdf"] and z.read("masked_d.pdf") == b"as it is"
+    r = J.mask_archives(files, MAIL).first()
+    z = zipfile.ZipFile(io.BytesIO(r["content"]))
+    assert sorted(z.namelist()) == ["error_b.docx.txt", "error_d.pdf.txt", "error_e.png.txt", "masked_a.docx"]
+    assert z.read("error_d.pdf.txt") == b"Failed to process d.pdf: no reader for this kind: pdf"
+    assert [tuple(x) for x in r["report"]] == [("a.docx", "DOCX Paragraph", ["EMAIL_ADDRESS"])]
+    r = J.mask_archives(files, MAIL, pages).first()
+    z = zipfile.ZipFile(io.BytesIO(r["content"]))
+    assert sorted(z.namelist()) == ["error_b.docx.txt", "error_e.png.txt", "masked_a.docx", "masked_d.pdf"] and z.read("masked_d.pdf") == b"write *"
+    assert not [n for n in z.namelist() if n.startswith("masked_") and b"b@example.com" in z.read(n)] and len(r["report"]) == 2
 
 
 def test_cloud_scan(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.docx").write_bytes(docx(paragraph(("a@example.com", False))))
+    for d in ("in/x", "in/y"):
+        (tmp_path / d).mkdir(parents=True)
+    (tmp_path / "in" / "x" / "a.docx").write_bytes(docx(paragraph(("a@example.com", False))))
+    (tmp_path / "in" / "y" / "a.docx").write_bytes(docx(paragraph(("b@example.com", False))))
     (tmp_path / "in" / "b.docx").write_bytes(docx(paragraph(("nothing", False))))
+    (tmp_path / "in" / "p.pdf").write_bytes(b"c@example.com")
     got = J.cloud_scan(spark, f"file://{tmp_path}/in", MAIL, "sanitize", out=f"file://{tmp_path}/out")
-    assert got == {"files_scanned": 2, "files_with_pii": 1}
-    assert len(json.loads((tmp_path / "out" / "report.json").read_text())) == 2
-    assert [p.name for p in (tmp_path / "out" / "sanitized").glob("*.docx")] == ["a.docx"]
+    assert got == {"files_scanned": 4, "files_with_pii": 2}
+    report = {r["file"]: r for r in json.loads((tmp_path / "out" / "report.json").read_text())}
+    assert sorted(report) == ["b.docx", "p.pdf", "x/a.docx", "y/a.docx"] and report["p.pdf"] == {"file": "p.pdf", "error": "no reader for this kind: pdf"}
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.docx*")) == ["sanitized/x/a.docx", "sanitized/y/a.docx"]
+    text = zipfile.ZipFile(tmp_path / "out" / "sanitized" / "y" / "a.docx").read("word/document.xml").decode()
+    assert "example.com" not in text
+    assert J.cloud_scan(spark, f"file://{tmp_path}/in", MAIL, prefix="y/") == {"files_scanned": 1, "files_with_pii": 1}
+
+
+def test_a_file_over_the_upload_cap_is_scanned(spark, tmp_path):
+    import numpy as np
+
+    big = io.BytesIO(docx(paragraph(("a@example.com", False))))
+    with zipfile.ZipFile(big, "a", zipfile.ZIP_STORED) as z:
+        z.writestr("word/media/noise.bin", np.random.default_rng(0).bytes(101 << 20))
+    (tmp_path / "big.docx").write_bytes(big.getvalue())
+    assert J.read_files(spark, f"file://{tmp_path}").count() == 0  # uploads are capped
+    assert J.cloud_scan(spark, f"file://{tmp_path}", MAIL) == {"files_scanned": 1, "files_with_pii": 1}
 
 
 def test_tables(spark, tmp_path):

@@ -81,7 +81,7 @@ def test_discovery(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx(paragraph(("a@example.com", False))))
     (tmp_path / "b.docx").write_bytes(b"broken")
     (tmp_path / "c.csv").write_text("a@example.com\n")
-    r = {x["file"].rsplit("/", 1)[1]: x for x in S.discover(spark, f"file://{tmp_path}", Policy(["EMAIL_ADDRESS"])).collect()}
+    r = {x["file"]: x for x in S.discover(spark, f"file://{tmp_path}", Policy(["EMAIL_ADDRESS"])).collect()}
     assert r["a.docx"]["pii_detected"] == ["EMAIL_ADDRESS"] and r["a.docx"]["items_found"] == 1
     assert r["b.docx"]["error"] and r["c.csv"]["pii_detected"] == [] and r["c.csv"]["error"] is None
     assert S.list_files(spark, f"file://{tmp_path}", prefix="a").count() == 1

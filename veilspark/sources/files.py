@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.persons import has_contact, name_line_tokens_ok, tokens_of
@@ -39,27 +40,36 @@ def upload_status(length: Column, most: int = MAX_UPLOAD_BYTES) -> Column:
     return F.when(length > most, 413).when(length == 0, 400).otherwise(202)
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, name, length, content) of the files under a path, none larger than the upload cap."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, most: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """(path, name, length, content) of the files under a path but for empty ones and those over `most` bytes, the upload cap."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path).filter(upload_status(F.col("length")) == 202)
+    df = reader.load(path).filter(upload_status(F.col("length"), most) == 202)
     return df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
 
 
+def key_of(spark: SparkSession, root: str, path: Column) -> Column:
+    """A listed path relative to the root that was listed; of a root that is a file or a pattern, the file's name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 20)).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
 def list_files(spark: SparkSession, path: str, prefix: str = "", most: int = MAX_LISTED) -> DataFrame:
-    """(path, length) of the first files by name whose name starts with the prefix; the limit is the feature."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    return df.filter(name.startswith(prefix)).orderBy("path").limit(most)
+    """(path, key, length) of the first files by key, the path below the root, that start with the prefix; the limit is the feature."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", key_of(spark, path, F.col("path")).alias("key"), "length")
+    return df.filter(F.col("key").startswith(prefix)).orderBy("path").limit(most)
 
 
-def read_dataset(spark: SparkSession, path: str, kind: str | None = None, force_string: bool = False) -> DataFrame:
-    """CSV with a header and inferred types, or one JSON object a line. Columns that infer as numbers are not scanned later, unless force_string."""
+def read_dataset(spark: SparkSession, path: str, kind: str | None = None, force_string: bool = False, multiline: bool = True) -> DataFrame:
+    """CSV with a header and inferred types, or one JSON object a line. Columns that infer as numbers are not scanned later, unless force_string.
+
+    With multiline, quoted cells may hold line breaks, but a file is then read by one task; without, large files are split.
+    """
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return spark.read.option("header", True).option("inferSchema", not force_string).option("multiLine", True).option("escape", '"').csv(path)
+        return spark.read.option("header", True).option("inferSchema", not force_string).option("multiLine", multiline).option("escape", '"').csv(path)
     if kind == "jsonl":
         return spark.read.option("primitivesAsString", force_string).json(path)
     raise ValueError(f"no dataset: {path}")
@@ -75,14 +85,15 @@ def write_dataset(df: DataFrame, path: str, kind: str) -> None:
         raise ValueError(kind)
 
 
-def sanitize_dataset(spark: SparkSession, path: str, out: str, policy: Policy | None = None, language: str | None = None, kind: str | None = None, force_string: bool = False) -> int:
-    """Rows processed; an empty dataset writes nothing."""
+def sanitize_dataset(spark: SparkSession, path: str, out: str, policy: Policy | None = None, language: str | None = None, kind: str | None = None, force_string: bool = False, multiline: bool = True) -> int:
+    """Rows processed, as counted by the write itself; an empty dataset writes nothing."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
-    df = read_dataset(spark, path, kind, force_string)
+    df = read_dataset(spark, path, kind, force_string, multiline)
     if df.isEmpty():
         return 0
-    write_dataset(sanitize(df, policy, language), out, kind)
-    return spark.read.text(out).count() if kind == "jsonl" else df.count()
+    rows = Observation()
+    write_dataset(sanitize(df, policy, language).observe(rows, F.count(F.lit(1)).alias("n")), out, kind)
+    return int(rows.get["n"])
 
 
 # ---- word-processor files -------------------------------------------------------------------------------------
@@ -267,12 +278,20 @@ def zip_archives(members: DataFrame) -> DataFrame:
     return members.select("archive", "name", "masked", "error").groupBy("archive").applyInPandas(of, "archive string, content binary")
 
 
+#: The largest file that Spark gives as one value.
+MOST_BYTES = (1 << 31) - 1
+
+
 def discover(spark: SparkSession, path: str, policy: Policy | None = None, prefix: str = "", most: int = MAX_LISTED, extra_report: DataFrame | None = None) -> DataFrame:
-    """(file, pii_detected, items_found, error) for each listed file: word-processor files are scanned here; of pages and images,
-    extra_report (path, pii_types) has the items. Datasets count as scanned and report nothing."""
+    """(path, file, pii_detected, items_found, error) for each listed file, file being its key below the root.
+
+    Word-processor files are scanned here; of pages and images, extra_report (path, pii_types) has the items, and without it
+    they have an error, as have files too large to be read: what wasn't looked at is never reported as clean. Datasets count as
+    scanned and report nothing.
+    """
     try:
         listed = list_files(spark, path, prefix, most)
-        files = read_files(spark, path).join(listed.select("path"), "path", "left_semi")
+        files = read_files(spark, path, most=MOST_BYTES).join(listed.select("path"), "path", "left_semi")
         listed.limit(1).count()
     except Exception as e:
         raise ValueError(f"Failed to connect: {e}") from e
@@ -281,10 +300,38 @@ def discover(spark: SparkSession, path: str, policy: Policy | None = None, prefi
     if extra_report is not None:
         items = items.unionByName(extra_report.select("path", "pii_types"))
     found = items.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pii_types")))).alias("pii_detected"), F.count("*").alias("items_found"))
-    errors = runs.filter("error is not null").select("path", "error")
-    out = listed.select("path").join(found, "path", "left").join(errors, "path", "left")
-    return out.select(F.col("path").alias("file"), F.coalesce("pii_detected", F.array().cast("array<string>")).alias("pii_detected"), F.coalesce("items_found", F.lit(0)).alias("items_found"), "error")
+    broken = runs.filter("error is not null").select("path", F.col("error").alias("broken"))
+    kind = file_kind(F.col("path"))
+    unread = kind.isin("pdf", "image") if extra_report is None else F.lit(False)
+    error = F.when(F.col("length") > MOST_BYTES, "too large to be read").when((kind == "docx") & (F.col("length") == 0), "empty").otherwise(F.coalesce("broken", F.when(unread, no_reader(kind))))
+    out = listed.join(found, "path", "left").join(broken, "path", "left")
+    return out.select("path", F.col("key").alias("file"), F.coalesce("pii_detected", F.array().cast("array<string>")).alias("pii_detected"), F.coalesce("items_found", F.lit(0)).alias("items_found"), error.alias("error"))
+
+
+def no_reader(kind: Column) -> Column:
+    return F.concat(F.lit("no reader for this kind: "), kind)
 
 
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.json(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (key, content) below the folder, each by the task that holds it and under its name only when whole; (key) of those written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        root = folder if "://" in folder else "file://" + re.sub("^file:", "", folder)
+        where, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for key, content in zip(b["key"], b["content"]):
+                to = f"{top}/{key}"
+                where.create_dir(to.rpartition("/")[0], recursive=True)
+                draft = f"{to}.{uuid.uuid4().hex}.part"
+                with where.open_output_stream(draft, compression=None) as out:
+                    out.write(content)
+                where.move(draft, to)
+            yield b[["key"]]
+
+    return files.select("key", "content").mapInPandas(run, "key string")

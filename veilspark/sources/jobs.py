@@ -5,13 +5,20 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators.engine import Policy
 from veilspark.plans.audit import certificate_counts, certificate_text
-from veilspark.sources.files import discover, docx_paragraphs, docx_report, docx_runs, docx_spans, file_kind, mask_docx, read_files, zip_archives, zip_members
+from veilspark.sources.files import (
+    KINDS, MOST_BYTES, discover, docx_paragraphs, docx_report, docx_runs, docx_spans, file_kind, key_of, mask_docx, no_reader, read_files, write_files, zip_archives, zip_members,
+)
+
+#: The masked content of a file and the rows (text, pii_types) of its report.
+Masker = Callable[[bytes], tuple[bytes, list[tuple[str, list[str]]]]]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,18 +52,44 @@ def stage(spark: SparkSession, folder: str, name: str, data: bytes) -> str:
     return path
 
 
-def mask_archives(files: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """(archive, content): archives with the members that can be masked here masked, and an error file for each that failed.
+def mask_archives(files: DataFrame, policy: Policy | None = None, maskers: dict[str, Masker] | None = None) -> DataFrame:
+    """(archive, content, report): archives of the masked members, and the reports of all of them as (name, text, pii_types).
 
-    Members of other kinds that are taken (pages, images) come back as they are unless a reader of the caller masks them.
+    maskers[kind](content) gives (masked content, [(text, pii_types)]) for kinds that aren't masked here. A member that fails,
+    and one of a kind that nothing masks, becomes an error file; none is passed on as it was.
     """
     members = zip_members(files)
-    docx = members.filter((file_kind(F.col("name")) == "docx") & F.col("error").isNull())
-    errors = docx_runs(docx).filter("error is not null").select("path", F.col("error").alias("broken"))
+    kind = file_kind(F.col("name"))
+    docx = members.filter((kind == "docx") & F.col("error").isNull())
+    runs = docx_runs(docx)
+    errors = runs.filter("error is not null").select("path", F.col("error").alias("broken"))
     done = mask_docx(docx.select("path", "content"), policy).select("path", "masked")
-    out = members.join(done, "path", "left").join(errors, "path", "left")
-    masked = F.when(F.coalesce("error", "broken").isNull(), F.coalesce("masked", "content"))
-    return zip_archives(out.filter("name is not null").select("archive", "name", masked.alias("masked"), F.coalesce("error", "broken").alias("error")))
+    report = docx_report(docx_spans(docx_paragraphs(runs), policy))
+    if maskers:
+        others = members.filter(kind.isin(*maskers) & F.col("error").isNull()).select("path", "name", "content").mapInPandas(_masked_by(maskers), "path string, masked binary, broken string, report array<struct<text:string,pii_types:array<string>>>")
+        errors = errors.unionByName(others.filter("broken is not null").select("path", "broken"))
+        done = done.unionByName(others.filter("broken is null").select("path", "masked"))
+        report = report.unionByName(others.select("path", F.explode("report").alias("r")).select("path", "r.text", "r.pii_types"))
+    out = members.filter("name is not null").join(done, "path", "left").join(errors, "path", "left")
+    why = F.coalesce("error", "broken", F.when(F.col("masked").isNull(), no_reader(kind)))
+    error = F.when(why.isNotNull(), F.concat(F.lit("Failed to process "), F.col("name"), F.lit(": "), why))
+    zipped = zip_archives(out.select("archive", "name", F.when(why.isNull(), F.col("masked")).alias("masked"), error.alias("error")))
+    rows = report.join(members.select("path", "archive", "name"), "path").groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("name", "text", "pii_types"))).alias("report"))
+    return zipped.join(rows, "archive", "left").withColumn("report", F.coalesce("report", F.array().cast("array<struct<name:string,text:string,pii_types:array<string>>>")))
+
+
+def _masked_by(maskers: dict[str, Masker]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, name, content in zip(b["path"], b["name"], b["content"]):
+                try:
+                    masked, report = maskers[KINDS[name.rsplit(".", 1)[-1].lower()]](content)
+                    row = (path, masked, None, [{"text": t, "pii_types": list(k)} for t, k in report])
+                except Exception as e:  # noqa: BLE001  a broken file is a row, not the end of the job
+                    row = (path, None, f"{type(e).__name__}: {e}", [])
+                yield pd.DataFrame([row], columns=["path", "masked", "broken", "report"])
+
+    return run
 
 
 def process_document(spark: SparkSession, raw: str, out: str, policy: Policy | None = None, organisation: str = "", when: str = "") -> dict:
@@ -78,13 +111,14 @@ def process_document(spark: SparkSession, raw: str, out: str, policy: Policy | N
 
 
 def cloud_scan(spark: SparkSession, path: str, policy: Policy | None = None, mode: str = "discovery", prefix: str = "", out: str | None = None) -> dict:
-    """Counts of files scanned and with findings; in mode `sanitize` those are also written, masked, under out/sanitized; the report is out/report.json."""
+    """Counts of files scanned and with findings; the report by key is out/report.json. In mode `sanitize` word-processor files with
+    findings are also written, masked, as out/sanitized/<key>, by the tasks that mask them."""
     report = discover(spark, path, policy, prefix).collect()  # one row for each listed file, whose number is capped
-    hit = [r["file"] for r in report if r["items_found"]]
+    hit = [r for r in report if r["items_found"]]
     if mode == "sanitize" and hit:
-        root = out or path
-        for r in mask_docx(read_files(spark, path).filter(F.col("path").isin(hit)), policy).select("name", "masked").toLocalIterator():
-            put(spark, f"{root}/sanitized/{r['name']}", bytes(r["masked"]))
+        files = read_files(spark, path, most=MOST_BYTES).filter(F.col("path").isin([r["path"] for r in hit]))
+        masked = mask_docx(files.withColumn("key", key_of(spark, path, F.col("path"))), policy)
+        write_files(masked.select("key", F.col("masked").alias("content")), f"{out or path}/sanitized").count()
     if out:
         rows = [{"file": r["file"], "pii_detected": r["pii_detected"], "items_found": r["items_found"]} if r["error"] is None else {"file": r["file"], "error": r["error"]} for r in report]
         put(spark, f"{out}/report.json", json.dumps(rows, indent=2).encode())
