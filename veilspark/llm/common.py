@@ -91,3 +91,15 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """Signed 64-bit numbers, non-negative ones in the narrowest type that holds them, as compressed byte planes."""
+    a = np.ascontiguousarray(values, np.int64)
+    low, top = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+    width = 8 if low < 0 else next(w for w in (1, 2, 4, 8) if top < 1 << min(8 * w, 63) or w == 8)
+    return bytes([width]) + pack(a.astype(f"<u{width}") if width < 8 else a)
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    return unpack(data[1:], f"<u{data[0]}" if data[0] < 8 else np.int64).astype(np.int64)

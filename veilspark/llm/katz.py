@@ -1,67 +1,100 @@
-"""Scoring texts with a Katz backoff bigram model, learned from and stored in partitioned tables.
-
-Documents are gathered into blocks of tokens. What a block asks of the corpus - the counts of its distinct words,
-then of its distinct word pairs - goes to buckets as packed arrays, one row for each block and bucket; a bucket
-adds up what all blocks bring and is stored as a row of the model's table, with the places of what each block
-asked. So rows are few, every shuffle is of compressed arrays, and nothing but sums for each bucket, Good-Turing
-counts of counts and the sums of hot histories comes to the driver.
-
-The model: p(w|h) is the discounted relative count of the pair where it was seen, else a(h) p(w), recursing to the
-unigrams, whose discounted mass belongs to words never seen. a(h) is exact: what the pairs of h leave over what
-the unigrams of their words leave. Counts up to k are discounted by Good-Turing. A text begins in a history of its own and ends in a token of its own.
+"""Katz backoff language models of any order, learned into partitioned tables and asked by blocks of tokens.
+
+The model: p(w|h) is the discounted relative count of the n-gram where it was seen, else a(h) p(w|h'), h' being h
+without its first word, recursing to the words alone, whose discounted mass belongs to words never seen. a(h) is
+exact: what the n-grams of h leave over what the shorter n-grams of their words leave. Counts up to k are
+discounted by Good-Turing. A text begins in a history of its own and ends in a token of its own.
+
+Documents are gathered into blocks of tokens. A block asks for its distinct words, then for its distinct 2-grams,
+then for its 3-grams, each time as packed sorted arrays. What it asks goes by the hash of the history to buckets
+(a history so frequent that it would fill one is dealt by n-gram, its sums shared). A bucket adds up what is
+brought to it and is stored as a row of that order's table. Where there are more buckets than `fan`, arrays pass
+through radix nodes that merge some `fan` of them and split the result by the next digit, so no level makes more
+than `fan` rows of a block, however many blocks and buckets there are; answers come back the same way. Nothing
+but sums and the frequent histories, whose number is bounded, comes to the driver.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import drop_path, new_path, pack, partitions, release, unpack, words_of
+from veilspark.llm.common import drop_path, new_path, pack, pack_ints, partitions, release, unpack, unpack_ints, words_of
 from veilspark.llm.sketch import WordHashes
 
 #: Hash of no word: the end of a text.
 END = 0x2D06800538D394C2
+#: Hashes are positive numbers of 63 bits.
+MASK = (1 << 63) - 1
+#: Directories that a table is partitioned into, by range of the bucket.
+PARTS = 64
 
 
 @dataclass(frozen=True)
 class Katz:
+    order: int = 3
     k: int = 5
+    #: Counts of counts up to this one are smoothed where Good-Turing needs it.
+    smooth: int = 64
     block_tokens: int = 1 << 20
     bucket_tokens: int = 1 << 20
-    #: Histories with over N / most_hot tokens may be dealt by the pair; their sums, at most most_hot, come to the driver.
+    #: Rows that a block or node is split into at once.
+    fan: int = 256
+    #: Histories with over N / most_hot tokens may be dealt by the n-gram; their sums, at most most_hot, come to the driver.
     most_hot: int = 1_000_000
     memory: int = 1 << 18
 
 
-def discounts(n: np.ndarray, k: int) -> np.ndarray:
-    """d[r] for counts r = 0..k, from n[r] for r = 0..k+1: Good-Turing's.
+# ---- discounts ------------------------------------------------------------------------------------------------
 
-    If one of those isn't within (0, 1], as in a small corpus, the counts of counts are smoothed by a power law first;
-    if that doesn't fall steeply enough either, half a count is taken off.
-    """
-    r = np.arange(1, k + 2)
-    if n[1] > 0 and (n[1 : k + 1] > 0).all() and (d := _good_turing(np.array(n[1 : k + 2], float), k)) is not None:
-        return d
-    met = np.flatnonzero(np.asarray(n[1 : k + 2]) > 0)
-    if len(met) > 1:
-        slope = np.polyfit(np.log(r[met]), np.log(np.asarray(n, float)[1:][met]), 1)[0]
-        if slope < -1 and (d := _good_turing(r**slope, k)) is not None:
-            return d
-    return np.concatenate([[1.0], (r[:k] - 0.5) / r[:k]])
 
+def discounts(n: np.ndarray, k: int) -> tuple[np.ndarray, list[str]]:
+    """(d[r] for counts r = 0..k, how each came about) from n[r], the number of n-grams counted r times.
 
-def _good_turing(n: np.ndarray, k: int) -> np.ndarray | None:
-    r, cut = np.arange(1, k + 1), (k + 1) * n[k] / n[0]
-    if cut >= 1:
-        return None
-    d = ((r + 1) * n[1:] / (r * n[:k]) - cut) / (1 - cut)
-    return np.concatenate([[1.0], d]) if ((d > 0) & (d <= 1)).all() else None
+    Good-Turing's r* is Turing's estimate; where that gives no discount within (0, 1], from that r on Simple
+    Good-Turing's, of a line through log n[r] by log r (each n[r] shared among the empty counts around it, weighted
+    by n[r]); where that gives none either, half a count is taken off. "turing", "smoothed" or "half" says which.
+    """
+    n = np.asarray(n, float)
+    d, how = np.ones(k + 1), [""] * (k + 1)
+    met = np.flatnonzero(n[1:] > 0) + 1
+    slope = None
+    if len(met) > 1:
+        gap = np.concatenate([met[1:], [2 * met[-1] - met[-2]]]) - np.concatenate([[0], met[:-1]])
+        slope = float(np.polyfit(np.log(met), np.log(n[met] / (gap / 2)), 1, w=np.sqrt(n[met]))[0])
+        slope = slope if slope < -1 else None
+
+    def part(r: int, line: bool) -> float | None:
+        """r*/r less what the counts over k keep, over the same for the least count; None where out of range."""
+        if line:
+            if slope is None:
+                return None
+            share, cut = ((r + 1) / r) ** (slope + 1), (k + 1) ** (slope + 1)
+        else:
+            if len(n) < k + 2 or not (n[1] > 0 and n[r] > 0 and n[r + 1] > 0 and n[k + 1] > 0):
+                return None
+            share, cut = (r + 1) * n[r + 1] / (r * n[r]), (k + 1) * n[k + 1] / n[1]
+        value = (share - cut) / (1 - cut) if cut < 1 else None
+        return value if value is not None and 0 < value <= 1 else None
+
+    line = False
+    for r in range(1, k + 1):
+        value = None if line else part(r, False)
+        if value is None:
+            line, value = True, part(r, True)
+        d[r], how[r] = ((r - 0.5) / r, "half") if value is None else (value, "smoothed" if line else "turing")
+    return d, how[1:]
+
+
+def kept(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return d[np.where(count < len(d), count, 0)] * count
 
 
 @dataclass(frozen=True)
@@ -75,20 +108,209 @@ class Unigrams:
     scale: float
 
     def p(self, count: np.ndarray) -> np.ndarray:
-        seen = self.scale * self.d[np.where(count < len(self.d), count, 0)] * count / max(1, self.n)
-        return np.where(count > 0, seen, self.unseen)
+        return np.where(count > 0, self.scale * kept(self.d, count) / max(1, self.n), self.unseen)
 
 
 def unigrams(n: int, v: int, counts_of_counts: np.ndarray, k: int) -> Unigrams:
-    d = discounts(counts_of_counts, k)
+    d, _ = discounts(counts_of_counts, k)
     r = np.arange(k + 1)
-    left = float(((1 - d) * r * counts_of_counts[: k + 1]).sum()) / n if n else 1.0
+    left = float(((1 - d) * r * np.asarray(counts_of_counts[: k + 1])).sum()) / n if n else 1.0
     unseen = max(left, 1 / (n + 1))
     return Unigrams(n, v, d, unseen, (1 - unseen) / (1 - left) if left < 1 else 0.0)
 
 
+def factor(t: np.ndarray) -> np.ndarray:
+    """What a discounted count is multiplied by: 1/total, or 1/(total + 1) where its counts would leave no mass. t: twice the total, plus 1 there."""
+    return np.where(t > 0, 1 / np.maximum((t >> 1) + (t & 1), 1), 0.0)
+
+
+# ---- the way to the buckets and back --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Radix:
+    """How arrays sorted by bucket travel: at level 1..levels a node is a prefix of the bucket and, above the last, a group of sources."""
+
+    buckets: int
+    fan: int
+    sources: int
+    keys: int
+
+    @property
+    def levels(self) -> int:
+        n = 1
+        while self.fan**n < self.buckets:
+            n += 1
+        return n
+
+    def width(self, level: int) -> int:
+        return self.fan ** (self.levels - level)
+
+    def groups(self, level: int) -> int:
+        return 1 if level == self.levels else max(1, -(-self.sources // self.fan**level))
+
+    def split(self, arrays: list[np.ndarray], src: int, level: int) -> Iterator[dict]:
+        """Rows for the nodes of a level; arrays[0] is the bucket, ascending."""
+        prefix = arrays[0] // self.width(level)
+        at = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(prefix) else np.empty(0, np.int64)
+        for s, e in zip(at, [*at[1:], len(prefix)]):
+            node = int(prefix[s]) * self.groups(level) + src % self.groups(level)
+            yield {"node": node, "src": src, "cols": freeze([a[s:e] for a in arrays], self.keys)}
+
+
+def freeze(arrays: list[np.ndarray], keys: int) -> list[bytes]:
+    """Packed, the column that rows of a bucket are in order of as differences."""
+    lead = max(1, keys - 1)
+    return [pack_ints(np.diff(a, prepend=0) if i == lead else a) for i, a in enumerate(arrays)]
+
+
+def thaw(cols, keys: int) -> list[np.ndarray]:
+    arrays = [unpack_ints(x) for x in cols]
+    arrays[max(1, keys - 1)] = np.cumsum(arrays[max(1, keys - 1)])
+    return arrays
+
+
+ASK_SCHEMA = "node long, src long, cols array<binary>"
+REPLY_SCHEMA = "node long, src long, reply array<binary>"
+TABLE_SCHEMA = "part int, node long, cols array<binary>, v long, n long, few array<long>, srcs array<long>, places array<binary>"
+
+
+def _in_frames(rows: Iterator[dict], columns: list[str], most: int = 256) -> Iterator[pd.DataFrame]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= most:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def merged(pieces: list[list[np.ndarray]], keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces (bucket, keys.., n, others..) in one: distinct keys in order of bucket, the last history word back to the first, then the word;
+    n added up, of the others that of a learned one; and the place of each row of each piece."""
+    arrays = [np.concatenate(x) for x in zip(*pieces)]
+    ks = arrays[1 : 1 + keys]
+    order = np.lexsort((-arrays[1 + keys], ks[-1], *ks[:-1], arrays[0]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for a in ks:
+        s = a[order]
+        new[1:] |= s[1:] != s[:-1]
+    at = np.flatnonzero(new)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    total = np.add.reduceat(arrays[1 + keys][order], at) if len(at) else arrays[1 + keys]
+    out = [a[order][at] for a in arrays]
+    out[1 + keys] = total
+    return out, place
+
+
+def _merge(radix: Radix, level: int, smooth: int, reply: bool):
+    """A row of a node: what its sources brought, and where in it what each of them asked is (sources below 0 ask nothing)."""
+
+    keys = radix.keys
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        pieces = [thaw(c, keys) for c in p["cols"]]
+        sizes = [len(x[0]) for x in pieces]
+        cols, place = merged(pieces, keys)
+        del pieces
+        srcs, places = [], []
+        for src, x in zip(p["src"], np.split(place, np.cumsum(sizes)[:-1])):
+            if reply and src >= 0:
+                srcs.append(int(src))
+                places.append(pack_ints(np.diff(x, prepend=0)))
+        n = cols[1 + keys]
+        few = np.bincount(n[(n > 0) & (n <= smooth + 1)], minlength=smooth + 2)
+        node = int(p["node"].iloc[0])
+        part = node * PARTS // radix.buckets if level == radix.levels else node % PARTS
+        return pd.DataFrame([{"part": part, "node": node, "cols": freeze(cols, keys), "v": int((n > 0).sum()), "n": int(n.sum()), "few": few.tolist(), "srcs": srcs, "places": places}])
+
+    return run
+
+
+def _onward(radix: Radix, level: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, cols in zip(b["node"], b["cols"]):
+                yield from _in_frames(radix.split(thaw(cols, radix.keys), int(node), level), ["node", "src", "cols"])
+
+    return run
+
+
+def _sent_back(answer):
+    """Rows for each source of a node; answer(row of the table) gives arrays over the node's keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                arrays = answer(r)
+                rows = ({"node": r.node, "src": src, "reply": [_pack_reply(a[at]) for a in arrays]} for src, x in zip(r.srcs, r.places) for at in [np.cumsum(unpack_ints(x))])
+                yield from _in_frames(rows, ["node", "src", "reply"])
+
+    return run
+
+
+def _pack_reply(a: np.ndarray) -> bytes:
+    return pack_ints(a.view(np.int64) if a.dtype == np.float64 else a)
+
+
+def _joined(p: pd.DataFrame) -> list[np.ndarray]:
+    """The replies of a source's nodes, one after another."""
+    p = p.sort_values("node")
+    return [np.concatenate([unpack_ints(r[i]) for r in p["reply"]]) for i in range(len(p["reply"].iloc[0]))] if len(p) else []
+
+
+def _passed_on(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    if b.empty:
+        return pd.DataFrame({"node": [], "src": [], "reply": []})
+    got, r = _joined(p), b.iloc[0]
+    rows = [{"node": r["node"], "src": src, "reply": [pack_ints(a[at]) for a in got]} for src, x in zip(r["srcs"], r["places"]) for at in [np.cumsum(unpack_ints(x))]]
+    return pd.DataFrame(rows, columns=["node", "src", "reply"])
+
+
+def _table(df: DataFrame, path: str, *by: str) -> DataFrame:
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)  # of arrays that are compressed already
+    release(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Buckets:
+    """The table of one order: asked by sources with `asks`, it holds sums and the way back to the sources."""
+
+    def __init__(self, asks: DataFrame, radix: Radix, how: Katz, path: str, base: DataFrame | None = None, reply: bool = True):
+        self.spark, self.levels = asks.sparkSession, []
+        for level in range(1, radix.levels + 1):
+            last = level == radix.levels
+            if last and base is not None:  # what was learned before is one more source
+                asks = asks.unionByName(base.select("node", F.lit(-1).cast("long").alias("src"), "cols"))
+            rows = asks.groupBy("node").applyInPandas(_merge(radix, level, how.smooth, reply), TABLE_SCHEMA)
+            if last:
+                self.table = _table(rows, path, "part")
+            else:
+                self.levels.append(_table(rows, new_path(self.spark, "katz-nodes"), "part"))
+                asks = self.levels[-1].select("node", "cols").mapInPandas(_onward(radix, level + 1), ASK_SCHEMA)
+
+    def sums(self) -> tuple[int, int, int, np.ndarray]:
+        """(tokens, distinct keys learned, most of them in one bucket, counts of counts)."""
+        n, v, top = self.table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.max("v"), F.lit(0))).first()
+        few = self.table.select(F.posexplode("few").alias("r", "x")).groupBy("r").agg(F.sum("x").alias("x")).collect()  # smooth + 2 rows
+        return n, v, top, np.array([x for _, x in sorted(map(tuple, few))], np.int64)
+
+    def replies(self, answer) -> DataFrame:
+        """(src, node, reply) for the blocks that asked."""
+        got = self.table.mapInPandas(_sent_back(answer), REPLY_SCHEMA)
+        for nodes in reversed(self.levels):
+            got = nodes.select("node", "srcs", "places").groupBy("node").cogroup(got.groupBy("src")).applyInPandas(_passed_on, REPLY_SCHEMA)
+        return got
+
+
+# ---- blocks ---------------------------------------------------------------------------------------------------
+
+
 def _blocks(how: Katz):
-    """Rows (block, tokens, ids, lens, train, vocab, code, codes) of many documents: sorted word hashes, the code of each, the tokens' codes."""
+    """Rows (block, tokens, ids, nulls, lens, train, vocab, code, codes) of many documents: sorted word hashes, the code of each, the tokens' codes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, size = WordHashes(how.memory), 0
@@ -99,13 +321,13 @@ def _blocks(how: Katz):
             vocab, codes, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
             code = np.empty(len(vocab), np.uint32)  # of each word of vocab: by falling frequency, as that packs best
             code[np.argsort(-n, kind="stable")] = np.arange(len(vocab))
-            return pd.DataFrame([{"block": uuid.uuid4().int >> 65, "tokens": int(lens.sum()), "ids": ids, "lens": pack(lens), "train": pack(np.array(train, np.uint8)), "vocab": pack(vocab), "code": pack(code), "codes": pack(code[codes])}])
+            return pd.DataFrame([{"block": uuid.uuid4().int >> 65, "tokens": int(lens.sum()), "ids": pack_ints(np.array([i or 0 for i in ids], np.int64)), "nulls": pack(np.array([i is None for i in ids])), "lens": pack(lens), "train": pack(np.array(train, np.uint8)), "vocab": pack_ints(np.diff(vocab, prepend=0)), "code": pack(code), "codes": pack(code[codes])}])
 
         for b in batches:
             for key, text, t in zip(b["id"], b["t"], b["train"]):
                 words = words_of(text)
                 a = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-                tokens.append(np.append(a, np.uint64(END)))
+                tokens.append((np.append(a, np.uint64(END)) & np.uint64(MASK)).view(np.int64))
                 ids.append(None if pd.isna(key) else int(key))
                 train.append(bool(t))
                 size += len(words) + 1
@@ -118,226 +340,210 @@ def _blocks(how: Katz):
     return run
 
 
-BLOCK_SCHEMA = "block long, tokens long, ids array<long>, lens binary, train binary, vocab binary, code binary, codes binary"
+BLOCK_SCHEMA = "block long, tokens long, ids binary, nulls binary, lens binary, train binary, vocab binary, code binary, codes binary"
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Ranges of a hash of 63 bits."""
+    return (hashes >> 31) * buckets >> 32
 
 
-def _ask_words(buckets: int):
+def _ask_words(radix: Radix):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                vocab, codes = unpack(r.vocab, np.uint64), unpack(r.codes, np.uint32)
+                vocab, codes = np.cumsum(unpack_ints(r.vocab)), unpack(r.codes, np.uint32)
                 learned = np.repeat(unpack(r.train, np.uint8).astype(bool), unpack(r.lens, np.int64))
                 counts = np.bincount(codes[learned], minlength=len(vocab))[unpack(r.code, np.uint32)]
-                at = np.searchsorted(_bucket_of(vocab, buckets), np.arange(buckets + 1))
-                yield pd.DataFrame([{"bucket": i, "block": r.block, "words": pack(vocab[s:e]), "counts": pack(counts[s:e])} for i, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s])
+                yield from _in_frames(radix.split([_bucket_of(vocab, radix.buckets), vocab, counts], r.block, 1), ["node", "src", "cols"])
 
     return run
 
 
-def word_numbers(counts: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    number, known = np.zeros(len(counts), np.int64), np.flatnonzero(counts > 0)
-    number[known[np.argsort(-counts[known], kind="stable")]] = np.arange(len(known)) * buckets + bucket + 1
-    return number
+def _number_words(buckets: int):
+    """Number (0: never learned) and count of a bucket's words; numbers of all buckets interleave, frequent words first."""
 
+    def answer(r) -> list[np.ndarray]:
+        counts = unpack_ints(r.cols[2])
+        number, known = np.zeros(len(counts), np.int64), np.flatnonzero(counts > 0)
+        number[known[np.argsort(-counts[known], kind="stable")]] = np.arange(len(known)) * buckets + r.node + 1
+        return [number, counts]
 
-def _add_words(k: int, buckets: int):
-    """One row for a bucket: its words and counts, what was learned of them in all, and the places of each block's words."""
+    return answer
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        words = [unpack(x, np.uint64) for x in p["words"]]
-        all_, at = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.zeros(len(all_), np.int64)
-        np.add.at(counts, at, np.concatenate([unpack(x, np.int64) for x in p["counts"]]))
-        bucket = int(p["bucket"].iloc[0])
-        # numbers of all buckets interleave, frequent words first; words asked for but never learned have none
-        number = word_numbers(counts, bucket, buckets)
-        cuts = np.cumsum([len(x) for x in words])[:-1]
-        replies = [pack(np.stack([number[a], counts[a]], axis=1).reshape(-1)) for a in np.split(at, cuts)]
-        few = np.bincount(counts[(counts > 0) & (counts <= k + 1)], minlength=k + 2)[: k + 2]
-        return pd.DataFrame([{"bucket": bucket, "words": pack(all_), "counts": pack(counts), "v": int((counts > 0).sum()), "n": int(counts.sum()), "few": few.tolist(), "blocks": p["block"].tolist(), "replies": replies}])
-
-    return run
 
-
-WORD_SCHEMA = "bucket long, words binary, counts binary, v long, n long, few array<long>, blocks array<long>, replies array<binary>"
-
-
-def _number_words(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+def _numbered(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
     """A block with the number (0: unknown) and count of the word of each code."""
     if b.empty:
         return pd.DataFrame({c.split()[0]: [] for c in NUMBERED_SCHEMA.split(", ")})
-    r, p = b.iloc[0], p.sort_values("bucket")
-    got, code = np.concatenate([unpack(x, np.int64).reshape(-1, 2) for x in p["reply"]]), unpack(r.code, np.uint32)
-    by_code = np.empty_like(got)
-    by_code[code] = got
-    return pd.DataFrame([{"block": r.block, "ids": r.ids, "lens": r.lens, "train": r.train, "codes": r.codes, "number": pack(by_code[:, 0].copy()), "counts": pack(by_code[:, 1].copy())}])
-
-
-NUMBERED_SCHEMA = "block long, ids array<long>, lens binary, train binary, codes binary, number binary, counts binary"
+    r, code, by_code = b.iloc[0], unpack(b["code"].iloc[0], np.uint32), []
+    for a in _joined(p):
+        by_code.append(np.empty_like(a))
+        by_code[-1][code] = a
+    return pd.DataFrame([{"block": r.block, "ids": r.ids, "nulls": r.nulls, "lens": r.lens, "train": r.train, "codes": r.codes, "number": pack_ints(by_code[0]), "counts": pack_ints(by_code[1]), "got": []}])
 
 
-@dataclass(frozen=True)
-class Pairs:
-    """The distinct (history, word) of a block by number, where the history is known, in order of bucket, history and word."""
-
-    h: np.ndarray
-    w: np.ndarray
-    word_counts: np.ndarray
-    learned: np.ndarray
-    bucket: np.ndarray
-    of_token: np.ndarray  # -1 where the history is unknown
-
-
-def block_pairs(r, top: int, buckets: int, hot: int) -> Pairs:
-    """Numbers: up to top words, top + 1 all unknown words, top + 2 the history of a text's start. `hot`: tokens from which a history is dealt by pair."""
-    lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32).astype(np.int64)
-    number, counts = unpack(r.number, np.int64), unpack(r.counts, np.int64)
-    learned = np.repeat(unpack(r.train, np.uint8).astype(bool), lens)
-    starts = np.cumsum(lens) - lens
-    nv = len(number)
-    w = np.where(number[codes] > 0, codes, nv)
-    h = np.concatenate([[0], w[:-1]])
-    h[starts] = nv + 1
-    keys = h * (nv + 2) + w
-    known = h != nv
-    del w, h, codes
-    all_, at = np.unique(keys[known], return_inverse=True)
-    del keys
-    hc, wc = all_ // (nv + 2), all_ % (nv + 2)
-    numbers = np.concatenate([number, [top + 1, top + 2]])
-    totals = np.concatenate([counts, [0, hot]])
-    n = np.bincount(at[learned[known]], minlength=len(all_))
-    hn, wn = numbers[hc], numbers[wc]
-    mixed = hn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(totals[hc] >= hot, wn, 0).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    bucket = _bucket_of(mixed ^ (mixed >> np.uint64(29)), buckets)
-    order = np.lexsort((wn, hn, bucket))
-    place = np.empty(len(all_), np.int64)
-    place[order] = np.arange(len(all_))
-    of_token = np.full(len(known), -1)
-    of_token[known] = place[at]
-    return Pairs(hn[order], wn[order], np.concatenate([counts, [0, 0]])[wc][order], n[order], bucket[order], of_token)
-
-
-def _ask_pairs(top: int, buckets: int, hot: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                p = block_pairs(r, top, buckets, hot)
-                at = np.searchsorted(p.bucket, np.arange(buckets + 1))
-                rows = []
-                for i, (s, e) in enumerate(zip(at[:-1], at[1:])):
-                    if e > s:
-                        step = np.diff(p.h[s:e], prepend=0)
-                        rows.append({"bucket": i, "block": r.block, "h": pack(step), "w": pack(p.w[s:e]), "wc": pack(p.word_counts[s:e]), "n": pack(p.learned[s:e])})
-                    if len(rows) >= 256:
-                        yield pd.DataFrame(rows)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows)
+NUMBERED_SCHEMA = "block long, ids binary, nulls binary, lens binary, train binary, codes binary, number binary, counts binary, got array<binary>"
 
-    return run
 
+def _mixed(cols: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        h = (h ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) & np.uint64(MASK)
 
-def _add_pairs(k: int):
-    """One row for a bucket: its distinct pairs and counts, and the places of each block's pairs among them."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        hs, ws, wcs, ns = [], [], [], []
-        for r in p.itertuples():
-            hs.append(np.cumsum(unpack(r.h, np.int64)))
-            ws.append(unpack(r.w, np.int64))
-            wcs.append(unpack(r.wc, np.int64))
-            ns.append(unpack(r.n, np.int64))
-        sizes = [len(x) for x in hs]
-        h, w, wc, n = (np.concatenate(x) for x in (hs, ws, wcs, ns))
-        del hs, ws, wcs, ns
-        order = np.lexsort((w, h))
-        h, w = h[order], w[order]
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-        at = np.flatnonzero(first)
-        place = np.empty(len(h), np.int64)
-        place[order] = np.cumsum(first) - 1
-        c = np.add.reduceat(n[order], at)
-        few = np.bincount(c[(c > 0) & (c <= k + 1)], minlength=k + 2)[: k + 2]
-        places = [pack(np.diff(x, prepend=0).astype(np.uint32)) for x in np.split(place, np.cumsum(sizes)[:-1])]
-        return pd.DataFrame([{"bucket": int(p["bucket"].iloc[0]), "h": pack(np.diff(h[at], prepend=0)), "w": pack(w[at]), "wc": pack(wc[order][at]), "c": pack(c), "few": few.tolist(), "blocks": p["block"].tolist(), "places": places}])
-
-    return run
+@dataclass(frozen=True)
+class Fitted:
+    """What all tasks know of a model: word statistics and the discounts of each order from 2 on; sources: how those of each order came about."""
 
+    uni: Unigrams
+    top: int
+    buckets: int
+    hot: int
+    d: tuple[np.ndarray, ...] = ()
+    sources: tuple[list[str], ...] = field(default=(), compare=False)
 
-PAIR_SCHEMA = "bucket long, h binary, w binary, wc binary, c binary, few array<long>, blocks array<long>, places array<binary>"
+    def lower(self, order: int, count: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """p of n-grams of the order before: by their count and their history's total (as factor takes it)."""
+        return self.uni.p(count) if order == 2 else kept(self.d[order - 3], count) * factor(t)
 
 
-def _history_sums(r, uni: Unigrams, d: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the pairs of a bucket: (c, p(w)) of each, its history's place, and histories with sums of count, discounted count and p(w) seen."""
-    h, c, p = np.cumsum(unpack(r.h, np.int64)), unpack(r.c, np.int64), uni.p(unpack(r.wc, np.int64))
-    hs, of = np.unique(h, return_inverse=True)
-    kept = d[np.where(c < len(d), c, 0)] * c
-    sums = np.stack([np.bincount(of, x, len(hs)) for x in (c.astype(float), kept, np.where(c > 0, p, 0.0))], axis=1)
-    return c, p, kept, of, hs, sums
+class Block:
+    """The distinct n-grams of a block, order after order, and what was answered of them.
 
+    Numbers: up to top words, top + 1 all unknown words, top + 2 the history of a text's start. place[i] is where
+    the n-gram that ends in token i is, -1 where its history was never learned or would begin before the start.
+    """
 
-def _hot_sums(uni: Unigrams, d: np.ndarray, hot_numbers: np.ndarray):
+    def __init__(self, r, fit: Fitted):
+        self.fit, self.order = fit, 1
+        self.lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32).astype(np.int64)
+        number, counts = unpack_ints(r.number), unpack_ints(r.counts)
+        self.learned = np.repeat(unpack(r.train, np.uint8).astype(bool), self.lens)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.nv = len(number)
+        self.word = np.where(number[codes] > 0, codes, self.nv)
+        self.numbers = np.concatenate([number, [fit.top + 1, fit.top + 2]])
+        self.cols, self.place = [self.numbers], self.word
+        self.c, self.t = np.concatenate([counts, [0, fit.hot]]), np.zeros(self.nv + 2, np.int64)
+        self.p = fit.uni.p(self.c[self.word])
+
+    def ask(self, learn: bool = True) -> list[np.ndarray]:
+        """The n-grams of the next order: bucket, n numbers, times learned, whether dealt by n-gram, count and total below."""
+        before = np.concatenate([[-1], self.place[:-1]])
+        before[self.starts] = self.nv + 1 if self.order == 1 else -1
+        asked = np.flatnonzero((before >= 0) & (self.c[before] > 0))
+        keys, first, at = np.unique(before[asked] * (self.nv + 1) + self.word[asked], return_index=True, return_inverse=True)
+        h, w = keys // (self.nv + 1), keys % (self.nv + 1)
+        cols = [c[h] for c in self.cols] + [self.numbers[w]]
+        hot = (self.c[h] >= self.fit.hot).astype(np.int64)
+        n = np.bincount(at[self.learned[asked]], minlength=len(keys)) if learn else np.zeros(len(keys), np.int64)
+        own = self.place[asked[first]]
+        bucket = _bucket_of(_mixed([*cols[:-1], np.where(hot > 0, cols[-1], -1)]).view(np.int64), self.fit.buckets)
+        order = np.lexsort((cols[-1], *cols[:-1], bucket))
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        below_c, below_t = self.c[own][order], self.t[own][order]
+        self.cols = [c[order] for c in cols]
+        self.place = np.full(len(before), -1)
+        self.place[asked] = where[at]
+        self.order += 1
+        return [bucket[order], *self.cols, n[order], hot[order], below_c, below_t]
+
+    def take(self, c: np.ndarray, t: np.ndarray, back: np.ndarray) -> None:
+        """What was answered: counts, totals of the histories, and where the count is 0 their backoff weight."""
+        self.c, self.t = np.append(c, 0), np.append(t, 0)
+        back = np.append(back.view(np.float64), 1.0)
+        count = self.c[self.place]
+        seen = kept(self.fit.d[self.order - 2], count) * factor(self.t[self.place])
+        self.p = np.where(self.place < 0, self.p, np.where(count > 0, seen, back[self.place] * self.p))
+
+    def retake(self, got) -> None:
+        """All orders answered so far."""
+        for i in range(0, len(got), 3):
+            self.ask()
+            self.take(*map(unpack_ints, got[i : i + 3]))
+
+
+def _ask_grams(radix: Radix, fit: Fitted):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                *_, hs, sums = _history_sums(r, uni, d)
-                at = np.isin(hs, hot_numbers)
-                yield pd.DataFrame({"h": hs[at], "c": sums[at, 0], "kept": sums[at, 1], "p": sums[at, 2]})
+                block = Block(r, fit)
+                block.retake(r.got)
+                yield from _in_frames(radix.split(block.ask(), r.block, 1), ["node", "src", "cols"])
 
     return run
 
 
-def _answer_pairs(uni: Unigrams, d: np.ndarray, hot: pd.DataFrame):
-    """(block, bucket, reply): log10 p(w|h) of the pairs a block asked a bucket for."""
+def _histories(r, fit: Fitted, order: int):
+    """(count, history of each n-gram, sums of count, discounted count and p below of each history, its numbers, is it hot) of a bucket."""
+    cols = thaw(r.cols, order)
+    hs, c, hot, below_c, below_t = cols[1:order], *cols[order + 1 :]
+    new = np.zeros(len(c), bool)
+    new[:1] = True
+    for h in hs:
+        new[1:] |= h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    below = np.where(c > 0, fit.lower(order, below_c, below_t), 0.0)
+    sums = np.stack([np.add.reduceat(x, at) for x in (c.astype(float), kept(fit.d[order - 2], c), below)], axis=1)
+    return c, np.cumsum(new) - 1, sums, [h[at] for h in hs], hot[at] > 0
+
 
+def _hot_sums(fit: Fitted, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                c, p, kept, of, hs, sums = _history_sums(r, uni, d)
-                at = np.searchsorted(hot["h"], hs)
-                shared = np.zeros(len(hs), bool) if hot.empty else hot["h"].to_numpy()[np.minimum(at, len(hot) - 1)] == hs
-                sums[shared] = hot[["c", "kept", "p"]].to_numpy()[at[shared]]
-                total = sums[:, 0]
-                left = 1 - sums[:, 1] / np.maximum(total, 1)
-                none_left = (left <= 1e-12) & (total > 0)
-                scale = np.where(none_left, total / (total + 1), 1.0)
-                left = np.where(none_left, 1 / (total + 1), left)
-                back = np.where(total > 0, left / (1 - sums[:, 2]), 1.0)
-                q = np.where(c > 0, scale[of] * kept / np.maximum(total, 1)[of], back[of] * p)
-                logs = np.log10(q).astype(np.float32)
-                rows = [{"block": k, "bucket": r.bucket, "reply": pack(logs[np.cumsum(unpack(x, np.uint32).astype(np.int64))])} for k, x in zip(r.blocks, r.places)]
-                for i in range(0, len(rows), 256):
-                    yield pd.DataFrame(rows[i : i + 256])
+                _, _, sums, hs, hot = _histories(r, fit, order)
+                yield pd.DataFrame({"h": pd.Series([list(x) for x in zip(*[h[hot].tolist() for h in hs])], dtype=object), "c": sums[hot, 0], "kept": sums[hot, 1], "p": sums[hot, 2]})
 
     return run
 
 
-def _score(top: int, buckets: int, hot: int, uni: Unigrams):
+def _answer(fit: Fitted, order: int, shared: dict[tuple, tuple]):
+    """Count, total and backoff weight of each n-gram of a bucket."""
+
+    def answer(r) -> list[np.ndarray]:
+        c, of, sums, hs, hot = _histories(r, fit, order)
+        for i in np.flatnonzero(hot):
+            sums[i] = shared[tuple(int(h[i]) for h in hs)]
+        total = sums[:, 0]
+        left = 1 - sums[:, 1] / np.maximum(total, 1)
+        none_left = (left <= 1e-12) & (total > 0)
+        left = np.where(none_left, 1 / (total + 1), left)
+        back = np.where(total > 0, left / np.maximum(1 - sums[:, 2], 1e-12), 1.0)
+        t = 2 * total.astype(np.int64) + none_left
+        return [c, np.where(c > 0, t[of], 0), np.where(c > 0, 0.0, back[of])]
+
+    return answer
+
+
+def _taken(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    """A block with the answers of one more order."""
+    if b.empty:
+        return b
+    out = b.copy()
+    out["got"] = [[*b["got"].iloc[0], *map(pack_ints, _joined(p) or [np.empty(0, np.int64)] * 3)]]
+    return out
+
+
+def _scored(fit: Fitted):
     def run(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if b.empty:
             return pd.DataFrame({c: [] for c in names})
         r = next(b.itertuples())
-        pairs = block_pairs(r, top, buckets, hot)
-        logs = np.concatenate([unpack(x, np.float32) for x in p.sort_values("bucket")["reply"]] or [np.empty(0, np.float32)]).astype(float)
-        lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32)
-        count = unpack(r.counts, np.int64)[codes]
-        alone = np.log10(uni.p(count))
-        logs = np.append(logs, 0.0)
-        token = np.where(pairs.of_token >= 0, logs[pairs.of_token], alone)
-        base = np.log10((count + 1) / (uni.n + uni.v + 1))
-        at = np.cumsum(lens) - lens
-        sums = [np.add.reduceat(x, at) for x in ((count > 0).astype(np.int64), base, token)]
-        ids = pd.array([pd.NA if x is None or x != x else int(x) for x in r.ids], dtype="Int64")
+        block = Block(r, fit)
+        count = block.c[block.word]
+        block.retake([*r.got, *map(pack_ints, _joined(p) or [np.empty(0, np.int64)] * 3)] if fit.d else [])
+        base = np.log10((count + 1) / (fit.uni.n + fit.uni.v + 1))
+        sums = [np.add.reduceat(x, block.starts) for x in ((count > 0).astype(np.int64), base, np.log10(block.p))]
+        ids = pd.arrays.IntegerArray(unpack_ints(r.ids), unpack(r.nulls, np.bool_))
         train = unpack(r.train, np.uint8).astype(bool)
-        return pd.DataFrame({"id": ids, "train": train, "n_tokens": lens, "n_known": sums[0], "train_tokens": uni.n, "base_score": sums[1], "score": sums[2]})
+        return pd.DataFrame({"id": ids, "train": train, "n_tokens": block.lens, "n_known": sums[0], "train_tokens": fit.uni.n, "base_score": sums[1], "score": sums[2]})
 
     return run
 
@@ -345,55 +551,97 @@ def _score(top: int, buckets: int, hot: int, uni: Unigrams):
 SCORE_SCHEMA = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", how: Katz | None = None) -> DataFrame:
-    """For each row of docs: id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
+# ---- models ---------------------------------------------------------------------------------------------------
 
-    learn_from says which rows teach (null: they do). ASCII letters count in lower case, words part at ASCII
-    white space; a null or empty text is its end alone. Repeated rows teach and are scored as often as they
-    come. Where nothing is learned every token has probability 1. An empty table gives an empty one.
-    """
-    how = how or Katz()
+
+@dataclass(frozen=True)
+class Model:
+    """A model in the folder `path`: a table order=n for each n, partitioned by range of the bucket; what tasks know of it is `fitted`."""
+
+    path: str
+    how: Katz
+    fitted: Fitted
+
+    def table(self, spark: SparkSession, order: int) -> DataFrame:
+        return spark.read.schema(TABLE_SCHEMA).parquet(f"{self.path}/order={order}").select("node", "cols")
+
+
+def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: Katz, base: Model | None, path: str, reply: bool) -> tuple[Model, DataFrame | None]:
+    """Learns from rows of docs (on top of nothing) or asks base, and with reply scores all of docs."""
     spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"), F.coalesce(learn_from, F.lit(True)).alias("train"))
+    held: list[str] = []
 
-    def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = new_path(spark, name)
-        df.write.parquet(path)  # of arrays that are compressed already
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        """df written; the table it came from is no longer needed."""
+        to = new_path(spark, name)
+        df.write.parquet(to)
         release(spark)
-        return spark.read.schema(df.schema).parquet(path), path
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.coalesce(learn_from, F.lit(True)).alias("train"))
-    blocks, block_path = table(rows.mapInPandas(_blocks(how), BLOCK_SCHEMA), "katz-blocks")
-    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    buckets = max(partitions(spark), -(-tokens // how.bucket_tokens))
-    asked = blocks.select("block", "lens", "train", "vocab", "code", "codes").mapInPandas(_ask_words(buckets), "bucket long, block long, words binary, counts binary")
-    words, word_path = table(asked.groupBy("bucket").applyInPandas(_add_words(how.k, buckets), WORD_SCHEMA), "katz-unigrams")
-    learned = words.select("bucket", "v", "n", "few").collect()  # one row for each bucket
-    n, v = sum(r["n"] for r in learned), sum(r["v"] for r in learned)
-    uni = unigrams(n, v, np.sum([r["few"] for r in learned] or [[0] * (how.k + 2)], axis=0), how.k)
-    top = max([r["v"] for r in learned], default=0) * buckets
-    hot = max(1, n // (4 * buckets), n // how.most_hot)
-    replies = words.select("bucket", F.explode(F.arrays_zip("blocks", "replies")).alias("x")).select("bucket", F.col("x.blocks").alias("block"), F.col("x.replies").alias("reply"))
-    numbered = blocks.drop("vocab", "tokens").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_number_words, NUMBERED_SCHEMA)
-    numbered, numbered_path = table(numbered, "katz-numbered")
-    drop_path(spark, block_path)
-    schema = "bucket long, block long, h binary, w binary, wc binary, n binary"
-    asked = numbered.mapInPandas(_ask_pairs(top, buckets, hot), schema)
-    pairs, _ = table(asked.groupBy("bucket").applyInPandas(_add_pairs(how.k), PAIR_SCHEMA), "katz-bigrams")
-    few = pairs.select(F.posexplode("few").alias("r", "x")).groupBy("r").agg(F.sum("x").alias("x")).collect()
-    d = discounts(np.array([x for _, x in sorted(map(tuple, few))] or [0] * (how.k + 2)), how.k)
-    hot_words = words.select("bucket", "counts").mapInPandas(_hot_words(hot, buckets), "h long").toPandas()["h"].to_numpy(np.int64)  # at most n / hot
-    hot_words = np.append(hot_words, top + 2)
-    sums = pairs.drop("blocks", "places").mapInPandas(_hot_sums(uni, d, hot_words), "h long, c double, kept double, p double")
-    hot_sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c", "kept", "p")]).toPandas().sort_values("h").reset_index(drop=True)
-    answers = pairs.mapInPandas(_answer_pairs(uni, d, hot_sums), "block long, bucket long, reply binary")
-    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(top, buckets, hot, uni), SCORE_SCHEMA)
-
-
-def _hot_words(hot: int, buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                counts = unpack(r.counts, np.int64)
-                yield pd.DataFrame({"h": word_numbers(counts, r.bucket, buckets)[counts >= hot]})
+        while held:
+            drop_path(spark, held.pop())
+        held.append(to)
+        return spark.read.schema(df.schema).parquet(to)
+
+    blocks = cut(rows.mapInPandas(_blocks(how), BLOCK_SCHEMA), "katz-blocks")
+    tokens, sources = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    buckets = base.fitted.buckets if base else max(partitions(spark), -(-tokens // how.bucket_tokens))
+    radix = Radix(buckets, how.fan, sources, 1)
+    asks = blocks.select("block", "lens", "train", "vocab", "code", "codes").mapInPandas(_ask_words(radix), ASK_SCHEMA)
+    words = Buckets(asks, radix, how, f"{path}/order=1", base.table(spark, 1) if base else None)
+    if base:
+        fit = base.fitted
+    else:
+        n, v, top, few = words.sums()
+        few = few if len(few) else np.zeros(how.smooth + 2)
+        fit = Fitted(unigrams(n, v, few, how.k), top * buckets, buckets, max(1, n // (4 * buckets), n // how.most_hot), sources=(discounts(few, how.k)[1],))
+    replies = words.replies(_number_words(buckets))
+    numbered = blocks.drop("vocab", "tokens").groupBy("block").cogroup(replies.groupBy("src")).applyInPandas(_numbered, NUMBERED_SCHEMA)
+    blocks = cut(numbered, "katz-numbered")
+    scores = None
+    for order in range(2, how.order + 1):
+        radix = replace(radix, keys=order)
+        asks = blocks.mapInPandas(_ask_grams(radix, fit), ASK_SCHEMA)
+        grams = Buckets(asks, radix, how, f"{path}/order={order}", base.table(spark, order) if base else None, reply or order < how.order)
+        if not base:
+            few = grams.sums()[3]
+            d, sources_of = discounts(few if len(few) else np.zeros(how.smooth + 2), how.k)
+            fit = replace(fit, d=(*fit.d, d), sources=(*fit.sources, sources_of))
+        if not reply and order == how.order:
+            break
+        known = replace(fit, d=fit.d[: order - 1])
+        hot = grams.table.select("cols").mapInPandas(_hot_sums(known, order), "h array<long>, c double, kept double, p double")
+        hot = hot.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("c", "kept", "p")]).collect()  # N / hot histories at most
+        replies = grams.replies(_answer(known, order, {tuple(r["h"]): (r["c"], r["kept"], r["p"]) for r in hot}))
+        both = blocks.groupBy("block").cogroup(replies.groupBy("src"))
+        if order < how.order:
+            blocks = cut(both.applyInPandas(_taken, NUMBERED_SCHEMA), f"katz-order-{order}")
+        else:
+            scores = both.applyInPandas(_scored(known), SCORE_SCHEMA)
+    if reply and how.order < 2:
+        scores = blocks.groupBy("block").cogroup(replies.groupBy("src")).applyInPandas(_scored(fit), SCORE_SCHEMA)
+    return Model(path, how, fit), scores
+
+
+def katz_fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", how: Katz | None = None, path: str | None = None) -> Model:
+    """The model of the rows of docs that teach (null: they do), its tables written below path, by default in the session's shared folder."""
+    how, path = how or Katz(), path or new_path(docs.sparkSession, "katz-model")
+    rows = docs if learn_from is None else docs.filter(F.coalesce(learn_from, F.lit(True)))
+    return _run(rows, F.lit(True), id_col, text_col, how, None, path, False)[0]
+
+
+def katz_ask(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of rows that the model need not have seen, as katz_scores gives them; train is false throughout."""
+    path = new_path(docs.sparkSession, "katz-asked")
+    return _run(docs, F.lit(False), id_col, text_col, model.how, model, path, True)[1]
+
+
+def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", how: Katz | None = None, path: str | None = None) -> DataFrame:
+    """For each row of docs: id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
-    return run
+    The same as katz_fit and katz_ask, in one pass over the tables. learn_from says which rows teach (null: they
+    do). ASCII letters count in lower case, words part at ASCII white space; a null or empty text is its end alone.
+    Repeated rows teach and are scored as often as they come. Where nothing is learned every token has probability
+    1. An empty table gives an empty one. Columns but id and text are read only where learn_from names them.
+    """
+    how, path = how or Katz(), path or new_path(docs.sparkSession, "katz-model")
+    return _run(docs, learn_from, id_col, text_col, how, None, path, True)[1]
