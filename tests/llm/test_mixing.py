@@ -47,14 +47,19 @@ def test_reruns_agree_and_rows_are_cut(spark):
     assert n == mix(df).agg(F.sum(F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]))).first()[0]
 
 
-def test_quotas_are_exact_and_shards_even(spark):
+@pytest.mark.parametrize("shards", [1, 8, 2048])
+def test_quotas_are_exact_and_shards_even(spark, shards):
     slots = [100_000, 3, 0, 4567, 80]
-    q = split_quotas(spark.createDataFrame(list(enumerate(slots)), "idx long, slots long"), 8, 1)
-    upto = {r["idx"]: r["upto"] for r in q.collect()}
-    assert [upto[i][-1] for i in range(5)] == slots
-    each = [sum(upto[i][j] - (upto[i][j - 1] if j else 0) for i in range(5)) for j in range(8)]
-    assert max(each) - min(each) <= 1 and sum(each) == sum(slots)
-    assert all(x <= y for u in upto.values() for x, y in zip(u, u[1:]))
+    q = split_quotas(spark.createDataFrame(list(enumerate(slots)), "idx long, slots long"), shards, 1).collect()
+    each, got = Counter(), Counter()
+    for i in range(5):
+        ranges = sorted((r["shard"], r["lo"], r["hi"]) for r in q if r["idx"] == i)
+        assert all(a[2] == b[1] for a, b in zip(ranges, ranges[1:])) and all(lo < hi for _, lo, hi in ranges) and (not ranges or ranges[0][1] == 0)
+        for shard, lo, hi in ranges:
+            each[shard] += hi - lo
+            got[i] += hi - lo
+    assert [got[i] for i in range(5)] == slots and len(each) == shards
+    assert max(each.values()) - min(each.values()) <= 1
 
 
 def test_the_draw_follows_the_hypergeometric_distribution(spark):
@@ -78,6 +83,53 @@ def test_blocks_are_disjoint_and_shards_differ(spark):
         assert len({d["pass"] for d in r["draws"]}) == len(r["draws"]) <= 3
 
 
+def taken(rows):
+    out = Counter()
+    for r in rows:
+        out[r["row"]["doc_id"], r["size"]] += sum(d["words"] for d in r["draws"])
+    return out
+
+
+def test_the_drawn_blocks_are_what_is_taken(spark):
+    df = spark.createDataFrame([(i, " ".join(["w"] * (5 + i % 7)), "en", f"s{i % 3}", 0) for i in range(600)], DOCS)
+    one, two = (taken(mix(df, how=Mix(block_words=40, shard_words=300, seed=s)).collect()) for s in (1, 2))
+    assert one != two and abs(sum(one.values()) - sum(two.values())) <= 3
+    other = taken(mix(df, how=Mix(block_words=20, shard_words=300, seed=1)).collect())
+    assert one != other  # other blocks, another mix
+    # the partial pass doesn't take the beginning of the line: what it leaves lies among what it takes
+    assert taken(mix(df, how=Mix(block_words=40, shard_words=300, seed=1)).collect()) == one
+
+
+def test_rows_come_shard_by_shard(spark):
+    df = spark.createDataFrame(documents(7), DOCS)
+    parts = mixed_rows(mix(df, how=Mix(block_words=50, shard_words=400))).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "__shard", "__place").collect()
+    assert len({r["__shard"] for r in parts}) > 4
+    assert all(len({r["p"] for r in parts if r["__shard"] == s}) == 1 for s in {r["__shard"] for r in parts})
+    seen = [(r["p"], r["__shard"], r["__place"]) for r in sorted(parts, key=lambda r: r["i"])]
+    assert seen == sorted(seen)
+
+
+def test_very_many_equal_rows(spark, monkeypatch):
+    import veilspark.llm.mixing as M
+
+    monkeypatch.setattr(M, "GROUP_ROWS", 50)
+    rows = [(None, "a b c", "en", "x", 0)] * 700 + [(i, "d e", "en", "x" if i % 2 else None, 0) for i in range(300)]
+    got = mix(spark.createDataFrame(rows, DOCS).repartition(4), how=Mix(block_words=30)).collect()
+    want, words = targets({"x": 700 * 3 + 150 * 2, None: 300}), Counter()
+    assert len(got) == 1000
+    for r in got:
+        t = sum(d["words"] for d in r["draws"])
+        assert t <= 2 * r["size"]
+        words[r["row"]["source"]] += t
+    assert all(abs(words[s] - t) <= 1 for s, t in want.items())
+
+
+def test_the_plan_has_no_array_of_shards_and_shuffles_rows_once(spark):
+    m = mix(spark.createDataFrame(documents(8), DOCS))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "upto" not in plan and plan.count("Exchange hashpartitioning(source") == 1
+
+
 def test_empty_and_wordless(spark):
     assert mix(spark.createDataFrame([], DOCS)).count() == 0
     r = mix(spark.createDataFrame([(1, None, None, None, 0), (None, "", None, "a", 0)], DOCS)).collect()
