@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.checksums import apply_sql, quoted
 from veilspark.functions.spans import find_all, no_spans, spans_of
 
 # A curated table of common given and family names, of our own choice.
@@ -45,10 +46,12 @@ HEADER_FIRST_WORDS = [
     "cv", "invoice", "report", "proposal", "contract", "statement", "application",
     "welcome", "notice", "summary", "project", "plan", "policy", "memo", "letter",
 ]
+# What a name's token, a run of them and a way to reach a person look like.
 TOKEN = r"^[A-Z][A-Za-z]*\z|^[A-Z]\.?\z"
 RUN = r"\b(?:[A-Z][A-Za-z]*|[A-Z]\.)(?:\s+(?:[A-Z][A-Za-z]*|[A-Z]\.)){1,3}\b"
 CONTACT = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}|(?:\+?\d[\d\s\-().]{6,}\d)"
 MARKER_WINDOW = 60
+END_STOPS = r"\.+$"
 
 
 def tokens_of(text: Column) -> Column:
@@ -58,7 +61,7 @@ def tokens_of(text: Column) -> Column:
 
 def is_known(token: Column, names: list[str] | None = None) -> Column:
     """A name of the table, in its case, a full stop at the end aside."""
-    return F.regexp_replace(token, r"\.+$", "").isin(list(names or KNOWN_NAMES))
+    return apply_sql(token, f"regexp_replace(s, {quoted(END_STOPS)}, '') IN ({', '.join(quoted(n) for n in names or KNOWN_NAMES)})")
 
 
 def has_name_marker(text: Column, start: Column) -> Column:

@@ -16,7 +16,7 @@ SPANS = f"array<{SPAN}>"
 
 
 def no_spans() -> Column:
-    return F.array().cast(SPANS)
+    return F.expr(f"cast(array() as {SPANS.replace('start:', '`start`:').replace('end:', '`end`:')})")
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -24,34 +24,34 @@ def let(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), of), 1)
 
 
+FOUND = "array<struct<start:int,end:int,value:string>>"
+#: The offsets of matches m between gaps g, in SQL as it is built for every pattern.
+LOCATED = f"""x -> aggregate(
+  zip_with(x.m, slice(x.g, 1, size(x.m)), (m, g) -> named_struct('m', m, 'a', length(g), 'n', length(m))),
+  named_struct('at', 0, 'out', cast(array() as {FOUND.replace("end:", "`end`:").replace("start:", "`start`:")})),
+  (s, y) -> named_struct('at', s.at + y.a + y.n, 'out', concat(s.out, array(named_struct('start', s.at + y.a, 'end', s.at + y.a + y.n, 'value', y.m)))),
+  s -> s.out)"""
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches; null text: null.
 
     The matches and the gaps between them are read by the same matcher, so offsets are running sums of their
     lengths. Exact for matches that aren't empty; a text without a match costs a single pass.
     """
-    p = F.lit(pattern)
-
-    def located(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-        def step(s: Column, y: Column) -> Column:
-            begin = s["at"] + F.length(y["g"])
-            end = begin + F.length(y["m"])
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), y["m"].alias("value")))).alias("out"))
-
-        pairs = F.zip_with(x["m"], F.slice(x["g"], F.lit(1), F.size(x["m"])), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-        return F.aggregate(pairs, start, step, lambda s: s["out"])
-
-    both = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.isNull(), F.lit(None)).when(text.rlike(pattern), let(both, located)).otherwise(none)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    none = F.lit(None).cast(FOUND)
+    located = F.element_at(F.call_function("transform", F.array(both), F.expr(LOCATED)), 1)
+    return F.when(text.isNull(), none).when(text.rlike(pattern), located).otherwise(F.array().cast(FOUND))
 
 
 def spans_of(found: Column, entity: str, score: Column | float, src: int, score_of: Callable[[Column], Column] | None = None) -> Column:
     """find_all's matches as spans; score_of gives each match's score."""
-    value = score if isinstance(score, Column) else F.lit(float(score))
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(entity).alias("entity_type"), (score_of(m) if score_of else value).cast("double").alias("score"), F.lit(src).alias("src")))
+    if score_of is None and not isinstance(score, Column):
+        name = entity.replace("\\", "\\\\").replace("'", "\\'")
+        return F.call_function("transform", found, F.expr(f"m -> named_struct('start', m.`start`, 'end', m.`end`, 'entity_type', '{name}', 'score', {float(score)!r}D, 'src', {src})"))
+    value = lambda m: score_of(m) if score_of else score
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(entity).alias("entity_type"), value(m).cast("double").alias("score"), F.lit(src).alias("src")))
 
 
 def resolve_overlaps(spans: Column) -> Column:
