@@ -36,7 +36,8 @@ def test_archive_job(spark):
     r = J.mask_archives(files, MAIL).first()
     z = zipfile.ZipFile(io.BytesIO(r["content"]))
     assert sorted(z.namelist()) == ["error_b.docx.txt", "error_d.pdf.txt", "error_e.png.txt", "masked_a.docx"]
-    assert z.read("error_d.pdf.txt") == b"Failed to process d.pdf: no reader for this kind: pdf"
+    assert z.read("error_d.pdf.txt") == b"Failed to process d.pdf: PdfError: not a PDF"
+    assert z.read("error_e.png.txt") == b"Failed to process e.png: no reader for this kind: image"
     assert [tuple(x) for x in r["report"]] == [("a.docx", "DOCX Paragraph", ["EMAIL_ADDRESS"])]
     r = J.mask_archives(files, MAIL, pages).first()
     z = zipfile.ZipFile(io.BytesIO(r["content"]))
@@ -54,7 +55,7 @@ def test_cloud_scan(spark, tmp_path):
     got = J.cloud_scan(spark, f"file://{tmp_path}/in", MAIL, "sanitize", out=f"file://{tmp_path}/out")
     assert got == {"files_scanned": 4, "files_with_pii": 2}
     report = {r["file"]: r for r in json.loads((tmp_path / "out" / "report.json").read_text())}
-    assert sorted(report) == ["b.docx", "p.pdf", "x/a.docx", "y/a.docx"] and report["p.pdf"] == {"file": "p.pdf", "error": "no reader for this kind: pdf"}
+    assert sorted(report) == ["b.docx", "p.pdf", "x/a.docx", "y/a.docx"] and report["p.pdf"] == {"file": "p.pdf", "error": "PdfError: not a PDF"}
     assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.docx*")) == ["sanitized/x/a.docx", "sanitized/y/a.docx"]
     text = zipfile.ZipFile(tmp_path / "out" / "sanitized" / "y" / "a.docx").read("word/document.xml").decode()
     assert "example.com" not in text

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.persons import has_contact, name_line_tokens_ok, tokens_of
+from veilspark.functions.spans import types_of
 from veilspark.operators.documents import splice_runs
 from veilspark.operators.engine import Policy, detect, sanitize
+from veilspark.sources.pdf import read_words, redact
 
 MAX_UPLOAD_BYTES = 100 << 20
 MAX_UNZIPPED_BYTES = 500 << 20
@@ -199,6 +201,83 @@ def _rewritten(content: bytes, edits) -> bytes:
     return out.getvalue()
 
 
+# ---- pages with a text layer -----------------------------------------------------------------------------------
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """(path, page, words, head, after, error): the words of each page in order, its first line and the three after it. A file that can't be read
+    in full is one row with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "page", "words", "head", "after", "error"]
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    pages: dict[int, list[tuple]] = {}
+                    for w in read_words(bytes(content)):
+                        pages.setdefault(w[0], []).append(w)
+                    rows = []
+                    for page, words in pages.items():
+                        lines: dict[int, list[str]] = {}
+                        for w in words:
+                            lines.setdefault(w[7], []).append(w[5])
+                        text = [" ".join(x) for x in lines.values()]
+                        rows.append((path, page, [w[5] for w in words], text[0], " ".join(text[1:4]), None))
+                except Exception as e:  # noqa: BLE001  a broken file is a row, not the end of the job
+                    rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=names).astype({"page": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page long, words array<string>, head string, after string, error string")
+
+
+def pdf_spans(pages: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """pages with spans of the text that the words make, and gone: the places of the words that a span touches. One projection."""
+    named = (F.col("page") == 0) & name_line_tokens_ok(tokens_of(F.col("head"))) & has_contact(F.col("after"))
+    lines = F.when(named, F.array(F.struct(F.lit(0).alias("start"), F.length("head").alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    found = pages.filter("error is null").withColumn("text", F.array_join("words", " ")).withColumn("spans", detect(F.col("text"), policy, None, lines))
+    start = "aggregate(words, named_struct('at', 0, 'out', cast(array() as array<struct<a:int,b:int>>)), (s, w) -> named_struct('at', s.at + length(w) + 1, 'out', concat(s.out, array(named_struct('a', s.at, 'b', s.at + length(w))))), s -> s.out)"
+    placed = found.withColumn("places", F.when(F.size("spans") > 0, F.expr(start)).otherwise(F.expr("cast(array() as array<struct<a:int,b:int>>)")))
+    hit = "transform(filter(transform(places, (p, i) -> named_struct('i', i, 'hit', exists(spans, s -> p.a < s.`end` and p.b > s.`start`))), x -> x.hit), x -> x.i)"
+    return placed.withColumn("gone", F.expr(hit)).drop("places")
+
+
+def pdf_report(spans: DataFrame) -> DataFrame:
+    """(path, text, pii_types): a row for each page with a span."""
+    return spans.filter(F.size("spans") > 0).select("path", F.lit("PDF Page Content").alias("text"), types_of(F.col("spans")).alias("pii_types"))
+
+
+def mask_pdf(files: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """files (path, content) with `masked`, the file without the words that a span touches, and `error` where it can't be read or rewritten."""
+    pages = pdf_pages(files)
+    gone = pdf_spans(pages, policy).groupBy("path").agg(F.collect_list(F.struct("page", "gone")).alias("pages"))
+    errors = pages.filter("error is not null").select("path", F.col("error").alias("unread"))
+
+    @F.pandas_udf("struct<masked binary, error string>")
+    def rewrite(contents: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, p in zip(contents, pages):
+            try:
+                out.append((None if p is None else redact(bytes(c), {int(x["page"]): {int(i) for i in x["gone"]} for x in p}), None))
+            except Exception as e:  # noqa: BLE001
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["masked", "error"])
+
+    done = files.join(gone, "path", "left").join(errors, "path", "left").withColumn("r", rewrite("content", "pages"))
+    return done.select(*files.columns, F.when(F.col("unread").isNull(), F.col("r.masked")).alias("masked"), F.coalesce("unread", "r.error").alias("error"))
+
+
+def masked_and_reported(files: DataFrame, policy: Policy | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of files (path, content) of kinds that are masked here: (path, masked, error) and the report (path, text, pii_types)."""
+    kind = file_kind(F.col("path"))
+    docx, pdf = files.filter(kind == "docx").select("path", "content"), files.filter(kind == "pdf").select("path", "content")
+    runs = docx_runs(docx)
+    broken = runs.filter("error is not null").select("path", "error")
+    one = mask_docx(docx, policy).select("path", "masked").join(broken, "path", "left")
+    two = mask_pdf(pdf, policy).select("path", "masked", "error")
+    report = docx_report(docx_spans(docx_paragraphs(runs), policy)).unionByName(pdf_report(pdf_spans(pdf_pages(pdf), policy)))
+    return one.unionByName(two).withColumn("masked", F.when(F.col("error").isNull(), F.col("masked"))), report
+
+
 # ---- words of pages and lines of images: the reader is given --------------------------------------------------
 
 
@@ -285,9 +364,9 @@ MOST_BYTES = (1 << 31) - 1
 def discover(spark: SparkSession, path: str, policy: Policy | None = None, prefix: str = "", most: int = MAX_LISTED, extra_report: DataFrame | None = None) -> DataFrame:
     """(path, file, pii_detected, items_found, error) for each listed file, file being its key below the root.
 
-    Word-processor files are scanned here; of pages and images, extra_report (path, pii_types) has the items, and without it
-    they have an error, as have files too large to be read: what wasn't looked at is never reported as clean. Datasets count as
-    scanned and report nothing.
+    Word-processor files and PDFs with a text layer are scanned here; of images and other PDFs, extra_report (path, pii_types) has the
+    items, and without it they have an error, as have files too large to be read: what wasn't looked at is never reported as
+    clean. Datasets count as scanned and report nothing.
     """
     try:
         listed = list_files(spark, path, prefix, most)
@@ -295,15 +374,16 @@ def discover(spark: SparkSession, path: str, policy: Policy | None = None, prefi
         listed.limit(1).count()
     except Exception as e:
         raise ValueError(f"Failed to connect: {e}") from e
-    runs = docx_runs(files.filter(file_kind(F.col("path")) == "docx"))
-    items = docx_report(docx_spans(docx_paragraphs(runs), policy)).select("path", "pii_types")
+    runs, pages = docx_runs(files.filter(file_kind(F.col("path")) == "docx")), pdf_pages(files.filter(file_kind(F.col("path")) == "pdf"))
+    items = docx_report(docx_spans(docx_paragraphs(runs), policy)).unionByName(pdf_report(pdf_spans(pages, policy))).select("path", "pii_types")
     if extra_report is not None:
         items = items.unionByName(extra_report.select("path", "pii_types"))
     found = items.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pii_types")))).alias("pii_detected"), F.count("*").alias("items_found"))
-    broken = runs.filter("error is not null").select("path", F.col("error").alias("broken"))
+    unread = pages if extra_report is None else pages.join(extra_report.select("path"), "path", "left_anti")
+    broken = runs.select("path", "error").unionByName(unread.select("path", "error")).filter("error is not null").select("path", F.col("error").alias("broken"))
     kind = file_kind(F.col("path"))
-    unread = kind.isin("pdf", "image") if extra_report is None else F.lit(False)
-    error = F.when(F.col("length") > MOST_BYTES, "too large to be read").when((kind == "docx") & (F.col("length") == 0), "empty").otherwise(F.coalesce("broken", F.when(unread, no_reader(kind))))
+    error = F.when(F.col("length") > MOST_BYTES, "too large to be read").when(kind.isin("docx", "pdf") & (F.col("length") == 0), "empty")
+    error = error.otherwise(F.coalesce("broken", F.when((kind == "image") & F.lit(extra_report is None), no_reader(kind))))
     out = listed.join(found, "path", "left").join(broken, "path", "left")
     return out.select("path", F.col("key").alias("file"), F.coalesce("pii_detected", F.array().cast("array<string>")).alias("pii_detected"), F.coalesce("items_found", F.lit(0)).alias("items_found"), error.alias("error"))
 

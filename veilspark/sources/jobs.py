@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.engine import Policy
 from veilspark.plans.audit import certificate_counts, certificate_text
-from veilspark.sources.files import (
-    KINDS, MOST_BYTES, discover, docx_paragraphs, docx_report, docx_runs, docx_spans, file_kind, key_of, mask_docx, no_reader, read_files, write_files, zip_archives, zip_members,
-)
+from veilspark.sources.files import KINDS, MOST_BYTES, discover, file_kind, key_of, masked_and_reported, no_reader, read_files, write_files, zip_archives, zip_members
 
 #: The masked content of a file and the rows (text, pii_types) of its report.
 Masker = Callable[[bytes], tuple[bytes, list[tuple[str, list[str]]]]]
@@ -60,11 +58,9 @@ def mask_archives(files: DataFrame, policy: Policy | None = None, maskers: dict[
     """
     members = zip_members(files)
     kind = file_kind(F.col("name"))
-    docx = members.filter((kind == "docx") & F.col("error").isNull())
-    runs = docx_runs(docx)
-    errors = runs.filter("error is not null").select("path", F.col("error").alias("broken"))
-    done = mask_docx(docx.select("path", "content"), policy).select("path", "masked")
-    report = docx_report(docx_spans(docx_paragraphs(runs), policy))
+    own = members.filter(kind.isin([k for k in ("docx", "pdf") if k not in (maskers or {})]) & F.col("error").isNull())
+    done, report = masked_and_reported(own.select("path", "content"), policy)
+    done, errors = done.select("path", "masked"), done.filter("error is not null").select("path", F.col("error").alias("broken"))
     if maskers:
         others = members.filter(kind.isin(*maskers) & F.col("error").isNull()).select("path", "name", "content").mapInPandas(_masked_by(maskers), "path string, masked binary, broken string, report array<struct<text:string,pii_types:array<string>>>")
         errors = errors.unionByName(others.filter("broken is not null").select("path", "broken"))
@@ -93,16 +89,18 @@ def _masked_by(maskers: dict[str, Masker]):
 
 
 def process_document(spark: SparkSession, raw: str, out: str, policy: Policy | None = None, organisation: str = "", when: str = "") -> dict:
-    """Masks a staged DOCX to out, with a certificate of what was removed beside it; the staged file goes even on failure.
+    """Masks a staged DOCX or PDF to out, with a certificate of what was removed beside it; the staged file goes even on failure.
 
-    The certificate counts a report's rows by type, as many as there are paragraphs with it.
+    The certificate counts a report's rows by type, as many as there are paragraphs or pages with it.
     """
     try:
-        files = read_files(spark, raw)
-        report = docx_report(docx_spans(docx_paragraphs(docx_runs(files)), policy))
+        done, report = masked_and_reported(read_files(spark, raw), policy)
+        masked = done.first()
+        if masked is None or masked["masked"] is None:
+            raise ValueError(f"Failed to process {posixpath.basename(raw)}: {masked['error'] if masked else 'no reader for this kind'}")
         counts = certificate_counts(report.select(F.explode("pii_types").alias("entity")))
         rows = sorted((tuple(r) for r in counts.collect()), key=lambda r: (r[0] == "Total", r[0]))
-        put(spark, out, bytes(mask_docx(files, policy).first()["masked"]))
+        put(spark, out, bytes(masked["masked"]))
         audit_id = uuid.uuid4().hex
         put(spark, f"{out}.certificate.txt", certificate_text(rows, organisation, posixpath.basename(raw), audit_id, when).encode())
         return {"output": out, "certificate": f"{out}.certificate.txt", "items": report.count(), "audit_id": audit_id}
@@ -111,14 +109,14 @@ def process_document(spark: SparkSession, raw: str, out: str, policy: Policy | N
 
 
 def cloud_scan(spark: SparkSession, path: str, policy: Policy | None = None, mode: str = "discovery", prefix: str = "", out: str | None = None) -> dict:
-    """Counts of files scanned and with findings; the report by key is out/report.json. In mode `sanitize` word-processor files with
+    """Counts of files scanned and with findings; the report by key is out/report.json. In mode `sanitize` word-processor files and PDFs with
     findings are also written, masked, as out/sanitized/<key>, by the tasks that mask them."""
     report = discover(spark, path, policy, prefix).collect()  # one row for each listed file, whose number is capped
     hit = [r for r in report if r["items_found"]]
     if mode == "sanitize" and hit:
         files = read_files(spark, path, most=MOST_BYTES).filter(F.col("path").isin([r["path"] for r in hit]))
-        masked = mask_docx(files.withColumn("key", key_of(spark, path, F.col("path"))), policy)
-        write_files(masked.select("key", F.col("masked").alias("content")), f"{out or path}/sanitized").count()
+        masked = masked_and_reported(files, policy)[0].filter("masked is not null")
+        write_files(masked.select(key_of(spark, path, F.col("path")).alias("key"), F.col("masked").alias("content")), f"{out or path}/sanitized").count()
     if out:
         rows = [{"file": r["file"], "pii_detected": r["pii_detected"], "items_found": r["items_found"]} if r["error"] is None else {"file": r["file"], "error": r["error"]} for r in report]
         put(spark, f"{out}/report.json", json.dumps(rows, indent=2).encode())
