@@ -23,7 +23,7 @@ def test_contact_line_and_brand_words(spark):
 
 
 def test_persons(spark):
-    assert ("PERSON", "Vedra Aghoral") in found(spark, "Name: Vedra Aghoral")
+    assert ("PERSON", "Priya Examplewala") in found(spark, "Name: Priya Examplewala")
     assert ("PERSON", "Sarah Johnson") in found(spark, "Prepared by: Sarah Johnson")
     assert found(spark, "Contact John Smith today") == [("PERSON", "John Smith")]
     assert found(spark, "Contact Support Team") == []

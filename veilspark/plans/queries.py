@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checksums, persons
-from veilspark.functions.language import ALIASES, SUPPORTED, resolve_language
+from veilspark.functions.language import ALIASES, COMMON_WORDS, SUPPORTED, resolve_language
 from veilspark.functions.spans import mask_token, no_spans, replace_spans, resolve_overlaps
 from veilspark.operators import documents as D
 from veilspark.operators.engine import FAKE_FIRST, FAKE_LAST, Policy, detect, mask, sanitize, scan
@@ -278,6 +278,66 @@ def valid_vat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("valid", checksums.is_valid_vat(F.concat("country", "value")))
 
 
+def _sum_of(value: str, digits: list[tuple[int, int]]) -> str:
+    """Sum of weight times digit over (weight, place)."""
+    return "(" + " + ".join(f"{w} * substr({value}, {i}, 1)::INT" for w, i in digits) + ")"
+
+
+def _doubled_sql(first: int, odd: int) -> str:
+    """Seven digits from a place on, every second doubled and its digits added."""
+    digit = lambda i: f"substr(value, {first + i}, 1)::INT"
+    return "(" + " + ".join(f"CASE WHEN {digit(i)} > 4 THEN 2 * {digit(i)} - 9 ELSE 2 * {digit(i)} END" if i % 2 == odd else digit(i) for i in range(7)) + ")"
+
+
+def _rounds_sql(n: int, first: list[int], second: list[int]) -> str:
+    a, b = _sum_sql("value", first), _sum_sql("value", second)
+    return f"CASE WHEN {a} % 11 = 10 THEN {b} % 11 % 10 ELSE {a} % 11 END = {_d(n)}"
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_cy = " + ".join([f"[1, 0, 5, 7, 9, 13, 15, 17, 19, 21][{_d(i)} + 1]" if i % 2 else _d(i) for i in range(1, 9)])
+_iso = lambda n: f"({VAT_SQL['DE'][1]})".replace("1, 8)", f"1, {n - 1})").replace(_d(9), _d(n)) + " % 10 = 1"
+#: (country, derived number of digits {n}, SQL of its check): the prefixes with letters or two shapes.
+VAT_MORE = [
+    ("AT", "'U' || {8}", f"((6 - {_doubled_sql(2, 1)}) % 10 + 10) % 10 = {_d(9)}"),
+    ("BE", "{10}", "(substr(value, 1, 8)::INT + substr(value, 9, 2)::INT) % 97 = 0"),
+    ("BG", "{9}", _rounds_sql(9, list(range(1, 9)), list(range(3, 11)))),
+    ("CY", f"{{8}} || substr({_AZ}, cast(o_orderkey % 26 as int) + 1, 1)", f"substr({_AZ}, (({_cy}) % 26 + 1)::INT, 1) = substr(value, 9, 1)"),
+    ("CZ", "{9}", "true"),
+    ("SK", "{10}", "true"),
+    ("HR", "{11}", _iso(11)),
+    ("ES", "'B' || {8}", f"(10 - {_doubled_sql(2, 0)} % 10) % 10 = {_d(9)}"),
+    ("ES", "{8} || substr('TRWAGMYFPDXBNJZSQVHLCKE', cast(o_orderkey % 23 as int) + 1, 1)", "substr('TRWAGMYFPDXBNJZSQVHLCKE', substr(value, 1, 8)::INT % 23 + 1, 1) = substr(value, 9, 1)"),
+    ("FR", "{11}", LUHN_SQL.format(m="substr(value, 3)") + " AND (substr(value, 3)::BIGINT * 100 + 12) % 97 = substr(value, 1, 2)::INT"),
+    ("IE", "{7} || substr('ABCDEFGHIJKLMNOPQRSTUVW', cast(o_orderkey % 23 as int) + 1, 1)", f"substr('WABCDEFGHIJKLMNOPQRSTUV', {_sum_sql('value', list(range(8, 1, -1)))} % 23 + 1, 1) = substr(value, 8, 1)"),
+    ("IT", "{11}", LUHN_SQL.format(m="value")),
+    ("LT", "{9}", _rounds_sql(9, list(range(1, 9)), [3, 4, 5, 6, 7, 8, 9, 1])),
+    ("LT", "{12}", _rounds_sql(12, [1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2], [3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4])),
+    ("LV", "{11}", _sum_sql("value", [9, 1, 4, 8, 3, 10, 2, 5, 7, 6, 1]) + " % 11 = 3"),
+    ("NL", "{9} || 'B01'", f"({_sum_sql('value', list(range(9, 1, -1)))} - {_d(9)}) % 11 = 0 OR ('2321' || substr(value, 1, 9) || '11' || '01')::HUGEINT % 97 = 1"),
+    ("RO", "{10}", f"{_sum_sql('value', [7, 5, 3, 2, 1, 7, 5, 3, 2])} * 10 % 11 % 10 = {_d(10)}"),
+    ("SE", "{10} || '01'", LUHN_SQL.format(m="substr(value, 1, 10)")),
+    ("SI", "{8}", f"{_sum_sql('value', list(range(8, 1, -1)))} % 11 <> 0 AND (11 - {_sum_sql('value', list(range(8, 1, -1)))} % 11) % 10 = {_d(8)}"),
+]
+
+
+def _vat_value(template: str, text_type: str) -> str:
+    import re
+
+    return re.sub(r"\{(\d+)\}", lambda m: f"right(lpad(cast(o_orderkey * 7654321 as {text_type}), {m[1]}, '0'), {m[1]})", template)
+
+
+@query(
+    "valid_vat_letters",
+    " UNION ALL ".join(f"SELECT o_orderkey, '{cc}' AS country, value, coalesce({check}, false) AS valid FROM (SELECT o_orderkey, {_vat_value(value, 'varchar')} AS value FROM orders)" for cc, value, check in VAT_MORE),
+)
+def valid_vat_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    values = F.expr("array(" + ", ".join(f"named_struct('country', '{cc}', 'value', {_vat_value(value, 'string')})" for cc, value, _ in VAT_MORE) + ")")
+    v = o.select("o_orderkey", F.explode(values).alias("x")).select("o_orderkey", "x.country", "x.value")
+    return v.withColumn("valid", checksums.is_valid_vat(F.concat("country", "value")))
+
+
 def _in_sentence(entity: str, value: Callable[[], Column], value_sql: str, where: str = "true", pattern: str | None = None) -> None:
     """The entity found in a sentence around a value made from an order's key."""
     r = _recognizer(entity)
@@ -318,6 +378,36 @@ _in_sentence(
     f"length(replace({_digits_sql}, substr({_digits_sql}, 1, 1), '')) > 0 AND {_sum_sql(_digits_sql, list(range(10, 1, -1)))} * 10 % 11 % 10 = substr({_digits_sql}, 10, 1)::INT AND {_sum_sql(_digits_sql, list(range(11, 1, -1)))} * 10 % 11 % 10 = substr({_digits_sql}, 11, 1)::INT",
 )
 
+_in_sentence(
+    "AADHAAR", lambda: F.regexp_replace(_pad(12, 1299709)[0](), r"^(\d{4})(\d{4})(\d{4})$", "$1 $2 $3"), f"regexp_replace({_pad(12, 1299709)[1]}, '^(\\d{{4}})(\\d{{4}})(\\d{{4}})$', '\\1 \\2 \\3')",
+    f"list_reduce(list_prepend(0, list_transform(list_reverse(string_split(replace(value, ' ', ''), '')), lambda c, i: {_powers}[(i - 1) % 8 + 1][c::INT + 1])), lambda s, x: {_product}[s + 1][x + 1]) = 0",
+)
+_in_sentence(
+    "BR_CNPJ", lambda: F.regexp_replace(_pad(14, 15485863)[0](), r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", "$1.$2.$3/$4-$5"),
+    f"regexp_replace({_pad(14, 15485863)[1]}, '^(\\d{{2}})(\\d{{3}})(\\d{{3}})(\\d{{4}})(\\d{{2}})$', '\\1.\\2.\\3/\\4-\\5')",
+    SQL["valid_cnpj"].partition("coalesce(")[2].rpartition(", false)")[0].replace("value", _digits_sql.replace("value", "VALUE")).replace("VALUE", "value"),
+)
+_in_sentence(
+    "EU_IBAN", lambda: F.expr("concat('DE', lpad(cast(o_orderkey % 100 as string), 2, '0'), lpad(cast(o_orderkey as string), 18, '0'))"),
+    "'DE' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || lpad(o_orderkey::VARCHAR, 18, '0')", "(substr(value, 5) || '1314' || substr(value, 3, 2))::HUGEINT % 97 = 1",
+)
+
+#: A German tax number with a letter too many, in one piece and in groups: what is found ends with the number.
+_de_value, _de_valid = _vat_value("{9}", "varchar"), f"({VAT_SQL['DE'][1]}){VAT_SQL['DE'][2]}"
+
+
+@query(
+    "detect_eu_vat",
+    f"""WITH v AS (SELECT o_orderkey, {_de_value} AS value FROM orders), ok AS (SELECT * FROM v WHERE {_de_valid})
+SELECT o_orderkey, 4::INT AS start, 15::INT AS "end", 'DE' || value AS value FROM ok
+UNION ALL SELECT o_orderkey, 32::INT, 46::INT, 'DE ' || substr(value, 1, 3) || ' ' || substr(value, 4, 3) || ' ' || substr(value, 7) FROM ok""",
+)
+def detect_eu_vat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.expr(_vat_value("{9}", "string"))
+    text = F.concat(F.lit("Ref DE"), n, F.lit("X and, in parts, "), F.lit("DE "), F.substring(n, 1, 3), F.lit(" "), F.substring(n, 4, 3), F.lit(" "), F.substring(n, 7, 3), F.lit(" S see below."))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return found(d, "o_orderkey", F.col("text"), detect(F.col("text"), Policy(entities=["EU_VAT"])))
+
 
 # ---- persons and language -------------------------------------------------------------------------------------
 
@@ -379,7 +469,14 @@ def resolved_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("language", resolve_language(F.col("given"), F.lit("")))
 
 
-@query("detect_language")
+_words_sql = " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code, len(list_filter(ws, lambda x: x IN ({', '.join(chr(39) + w + chr(39) for w in words.split())}))) AS n FROM t" for code, words in COMMON_WORDS.items())
+
+
+@query(
+    "detect_language",
+    f"""WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+') AS ws FROM documents), c AS ({_words_sql})
+SELECT doc_id, CASE WHEN n >= 3 THEN code ELSE 'en' END AS language FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) = 1""",
+)
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", resolve_language(None, F.col("text")).alias("language"))
@@ -516,6 +613,11 @@ def certificate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.certificate_counts(_logs(spark, sf_dir).select(F.explode(F.from_json("details", A.DETAILS)["detected"]).alias("entity")))
 
 
+@query("certificate_of_nothing", "SELECT * FROM (VALUES ('No PII Detected', 0::BIGINT), ('Total', 0::BIGINT)) AS t(entity, occurrences)")
+def certificate_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.certificate_counts(_logs(spark, sf_dir).filter("action = 'no such action'").select(F.col("details").alias("entity")))
+
+
 # ---- keys and limits ------------------------------------------------------------------------------------------
 
 
@@ -535,6 +637,27 @@ def rate_limit_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rate_limited(e, "ip", "ts", A.IP_LIMIT, "event_id", 14400).select("event_id", "ip", "nth", "limited")
 
 
+#: Events put a tenth of a second apart, so that windows of a minute fill.
+_dense_sql = "(SELECT event_id, user_id, TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds((event_id * 100)::BIGINT) AS ts FROM events)"
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.timestamp_millis(F.lit(1704067200000) + F.col("event_id").cast("long") * 100)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", at.alias("ts"))
+
+
+@query("rate_limit_key_minute", f"WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id % 50, floor(epoch(ts) / 60) ORDER BY ts, event_id)::INT AS nth FROM {_dense_sql}) SELECT event_id, nth, nth > coalesce(nullif((user_id % 50 % 12)::INT, 0), 1000) AS limited FROM r")
+def rate_limit_key_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _dense(spark, sf_dir).withColumn("key", F.col("user_id") % 50)
+    return A.rate_limited(e, "key", "ts", F.col("key") % 12, "event_id").select("event_id", "nth", "limited")
+
+
+@query("rate_limit_ip_minute", f"WITH r AS (SELECT event_id, '10.0.0.' || user_id % 9 AS ip, row_number() OVER (PARTITION BY user_id % 9, floor(epoch(ts) / 60) ORDER BY ts, event_id)::INT AS nth FROM {_dense_sql}) SELECT event_id, ip, nth, nth > 20 AS limited FROM r")
+def rate_limit_ip_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _dense(spark, sf_dir).withColumn("ip", F.concat(F.lit("10.0.0."), (F.col("user_id") % 9).cast("string")))
+    return A.rate_limited(e, "ip", "ts", A.IP_LIMIT, "event_id").select("event_id", "ip", "nth", "limited")
+
+
 @query("rate_window_count", "SELECT user_id, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS window_start, count(*) AS requests FROM events GROUP BY 1, 2")
 def rate_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.window_counts(table(spark, sf_dir, "events"), "user_id", "ts", 3600)
@@ -654,13 +777,15 @@ def header_name_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.header_name_lines(_lines(spark, sf_dir), ["c_custkey"], "line")
 
 
-#: Three runs for each customer, "Call me at ", a telephone number in two parts, and the rest.
+#: Three runs for each customer, most with a telephone number that begins in the first, fills the second and ends in the third.
 @query(
     "run_splice",
-    "SELECT c_custkey, n::INT AS run_idx, CASE n WHEN 0 THEN 'Call me at [PHONE_NUMBER_MASKED]' WHEN 1 THEN '' ELSE ' today.' END AS text FROM customer, generate_series(0, 2) AS g(n)",
+    "SELECT c_custkey, n::INT AS run_idx, CASE WHEN n = 0 AND c_custkey % 5 = 0 THEN 'Call me, ' || c_name WHEN n = 0 THEN 'Call me, ' || c_name || ', at [PHONE_NUMBER_MASKED]' WHEN n = 1 AND c_custkey % 5 = 0 THEN ' or' WHEN n = 1 THEN '' WHEN c_custkey % 5 = 0 THEN ' write to ' || c_mktsegment || '.' ELSE ' for ' || c_mktsegment || '.' END AS text FROM customer, generate_series(0, 2) AS g(n)",
 )
 def run_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.array(F.concat(F.lit("Call me at +1 ("), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")), F.lit(") 555"), F.lit("-0100 today."))
+    number = F.array(F.concat(F.lit("Call me, "), "c_name", F.lit(", at +1 ("), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")), F.lit(") 555"), F.concat(F.lit("-0100 for "), "c_mktsegment", F.lit(".")))
+    none = F.array(F.concat(F.lit("Call me, "), "c_name"), F.lit(" or"), F.concat(F.lit(" write to "), "c_mktsegment", F.lit(".")))
+    parts = F.when(F.col("c_custkey") % 5 == 0, none).otherwise(number)
     runs = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(parts).alias("run_idx", "text"))
     text = D.rebuild_text(runs, ["c_custkey"], "run_idx", "text", "")
     spans = text.select("c_custkey", F.explode(detect(F.col("text"), Policy(entities=["PHONE_NUMBER"]))).alias("s")).select("c_custkey", "s.start", "s.end", "s.entity_type")
@@ -711,14 +836,17 @@ def span_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streaming ------------------------------------------------------------------------------------------------
 
 
-@query("stream_gateway")
+@query("stream_gateway", SQL["scan_action"])
 def stream_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files through the gateway; what it wrote."""
     import tempfile
 
     from veilspark.streaming.gateway import start_gateway
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp()
     out = f"{root}/gateway-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{__import__('time').time_ns()}"
     schema = table(spark, sf_dir, "documents").schema
     requests = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*").select("doc_id", "text")
