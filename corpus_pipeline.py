@@ -16,7 +16,10 @@ LEAST_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; null, empty and letterless texts go."""
+    """Keeps documents whose language is recognised; null, empty and letterless texts go, as do those of which hardly a letter was learned.
+
+    Repeated rows are judged alike and all kept or gone; an empty table, and one that teaches nothing, gives an empty one.
+    """
     learn_from = F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))
     named = identify(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), learn_from)
     return named.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
@@ -26,18 +29,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each group of near duplicates the document of least doc_id.
 
     Linked are texts of Jaccard similarity 0.8 or more in five-word shingles, and those of near SimHashes as in op4.
+    Wordless texts are copies of one another. Of repeated rows one stays; of equal ids the least by a digest of the text; rows
+    without an id stay only where no other of their group has one. An empty table gives an empty one.
     """
     return keep_one_copy(docs, fingerprints=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix at its target weights: a row for each time a document is taken, cut where a source's target ends within it."""
-    taken = mixed_rows(mix(docs)).drop("__shard", "__place")
-    return taken.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else taken
+    """The mix at its target weights, shard after shard and each in its shuffled order.
+
+    A row for each time a document is taken, cut where a source's target ends within it, n_chars that of the text. A
+    null source is one of its own; wordless texts are not taken; repeated rows are documents each; nothing gives nothing.
+    """
+    rows = mixed_rows(mix(docs))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return rows.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in their sequences."""
+    """The pieces of every document in their sequences: a null text is its end id alone, repeated rows are packed each, nothing gives nothing."""
     return packed(docs)
 
 
