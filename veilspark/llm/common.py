@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    A temporary folder stands in only where the setting is missing (a single-machine test).
+    Where the setting is missing, a temporary folder stands in on a single machine; on a cluster that raises.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="veilspark-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
@@ -52,7 +56,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote, once nothing reads them any more, and with them the shuffle files of finished steps."""
+    for t in tables:
+        drop_path(t.sparkSession, t.stored_at)
+    release(tables[0].sparkSession)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -71,11 +84,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system, where the C library can: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     """ASCII-lower-cased words as UTF-8: bytes.lower and bytes.split touch ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores after it as it takes to be no column's, whatever their case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
