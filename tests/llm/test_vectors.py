@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm.vectors import Graph, build, near_vectors, robust_prune, unit
+from veilspark.llm.vectors import Graph, adjacency, build, near_vectors, robust_prune, search_shard, unit
 
 ROWS = "vec_id long, embedding array<float>, label int, id string, v string"
 
@@ -37,7 +39,7 @@ def table(seed, n, d=32):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("how", [Graph(shard_rows=150, sample=400), Graph(shard_rows=40, clusters=4)])
+@pytest.mark.parametrize("how", [Graph(shard_rows=150, sample=400), Graph(shard_rows=40, clusters=4), Graph(shard_rows=20, clusters=3, dealt=30, sample=200)])
 def test_links_and_components(spark, how):
     x = table(1, 900)
     ids = np.random.default_rng(2).permutation(5000)[:900]
@@ -94,3 +96,28 @@ def test_pruned_edges_are_not_made_needless_by_shorter_ones():
 
 def test_unit():
     assert unit([3.0, 4.0]).tolist() == pytest.approx([0.6, 0.8]) and unit([0.0]) is None and unit([None, 1.0]) is None
+
+
+def test_a_search_goes_on_in_other_shards():
+    how = Graph(near=3, far=1, degree=8, beam=4)
+    rng = np.random.default_rng(1)
+    x = np.array([0.0, 1.0, 0, 0]) + 0.05 * rng.normal(size=(8, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, near, to = np.arange(8), [np.array([(i + 1) % 8, 100 + i]) for i in range(8)], [np.array([3, 5 + i % 2]) for i in range(8)]
+    adj, away, away_to = adjacency(ids, 3, near, to, 8)
+    assert [a[a >= 0].tolist() for a in adj] == [[(i + 1) % 8] for i in range(8)]
+    assert list(zip(away, away_to)) == [(i, 5 + i % 2) for i in range(8)]
+    got = search_shard(ids, x, np.ones(8, bool), np.ones(8, np.int64), 3, near, to, np.array([500]), x[:1], how)
+    assert sorted(got[got["hop"] >= 0]["hop"]) == [5, 6] and set(got[got["hop"] >= 0]["id"]) == {500}
+
+
+def test_hops_find_what_the_routing_misses(spark):
+    x = table(5, 900)
+    rows = [(i, [float(y) for y in v], 0, "x", "y") for i, v in enumerate(x)]
+    part = {}
+    for hops in (0, 8):  # each vector is searched for in its home shard alone
+        how = Graph(shard_rows=60, sample=400, probes=1, margin=0.0, widenings=0, recall=0.0, hops=hops)
+        part[hops] = sum(r["n_links"] for r in near_vectors(spark.createDataFrame(rows, ROWS), how=replace(how, clusters=60)).collect())
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    assert part[0] <= part[8] <= brute(y, np.arange(900))[0].sum()

@@ -1,11 +1,13 @@
 """Near-duplicate embeddings over a robust-pruned flat graph built on overlapping cluster shards.
 
 Equal vectors are collapsed first. Centroids fitted on a bounded sample give each vector a home shard and a
-second one; each shard links its members to near neighbours, pruned so that no edge is made needless by a
-shorter one, and to some far ones. The adjacency lists of a vector's shards are joined. Every vector then
-searches the shards near it: greedily from the shard's medoids, then outward over everything in range. What is
-found is verified in double precision and counted in its home shard only, so no link counts twice. A sample is
-audited against brute force after every round; below the recall asked for, the search is widened and repeated,
+second one; a cluster too large for a shard is parted again by centroids of its own, fitted on a bounded sample of it, so
+shards keep their size however many vectors there are. Each shard links its members to near neighbours, pruned so
+that no edge is made needless by a shorter one, and to some far ones. The adjacency lists of a vector's shards are joined.
+Every vector then searches the shards near it: greedily from the shard's medoids, then outward over everything in
+range; where an edge of what is in range leads to another shard that it hasn't searched, it goes on there. What
+is found is verified in double precision and counted in its home shard only, so no link counts twice. A sample
+is audited against brute force after every round; below the recall asked for, the search is widened and repeated,
 and after the last widening all vectors are compared block by block.
 """
 
@@ -25,7 +27,7 @@ from veilspark.llm.components import connected_components
 
 @dataclass(frozen=True)
 class Graph:
-    """sample bounds the vectors that centroids are fitted on, clusters their number; larger shards are cut by a hash of the id."""
+    """sample bounds the vectors that centroids are fitted on, of all and of each cluster that is parted, clusters their number."""
 
     threshold: float = 0.9
     shard_rows: int = 1000
@@ -47,6 +49,9 @@ class Graph:
     audit_most: int = 16384
     #: Vectors of a block of the exact search.
     block: int = 4096
+    #: Vectors of a large cluster that one task deals to its parts; rounds in which a search may go on in other shards.
+    dealt: int = 8192
+    hops: int = 8
     recall: float = 0.97
     widenings: int = 2
     seed: int = 9
@@ -71,7 +76,7 @@ def centroids(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        at = (x @ c.T).argmax(axis=1)
+        at = np.concatenate([(x[i : i + 2048] @ c.T).argmax(axis=1) for i in range(0, len(x), 2048)])
         s = np.zeros_like(c)
         np.add.at(s, at, x)
         norm = np.sqrt((s * s).sum(axis=1))
@@ -162,14 +167,26 @@ def greedy(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, q: np.ndarray, be
         nodes[live], sims[live], opened[live] = (np.take_along_axis(a, best, axis=1) for a in (all_nodes, all_sims, all_opened))
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.ndarray, lists: list, qid: np.ndarray, q: np.ndarray, how: Graph) -> pd.DataFrame:
-    """(id, found, links, root): the links of each query into the home members, by weight and distinct, and stars that join what is linked."""
+def adjacency(ids: np.ndarray, shard: int, near: list, to: list, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The neighbours of each node of a shard by place, -1 where there are none; and (node, shard) of edges to home shards elsewhere. ids ascend."""
+    lens = np.array([len(x) for x in near], np.int64)
+    node, other, home = np.repeat(np.arange(len(ids)), lens), *(np.concatenate([np.asarray(x, np.int64) for x in a] or [np.empty(0, np.int64)]) for a in (near, to))
+    at = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+    inside = ids[at] == other
+    adj = np.full((len(ids), degree), -1)
+    n, a = node[inside], at[inside]
+    nth = np.arange(len(n)) - np.searchsorted(n, n)
+    adj[n[nth < degree], nth[nth < degree]] = a[nth < degree]
+    away = np.unique(np.stack([node, home], axis=1)[~inside & (home >= 0) & (home != shard)], axis=0)
+    return adj, away[:, 0], away[:, 1]
+
+
+def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.ndarray, shard: int, near: list, to: list, qid: np.ndarray, q: np.ndarray, how: Graph) -> pd.DataFrame:
+    """(id, found, links, root, hop): the links of each query into the home members, by weight and distinct; stars that join what is
+    linked; and other shards that edges of what is in a query's range lead to. ids ascend."""
     n = len(ids)
-    place = pd.Series(np.arange(n), index=ids)
-    adj = np.full((n, how.degree), -1)
-    for i, near in enumerate(lists):
-        at = place.reindex(near).dropna().to_numpy(int)[: how.degree]
-        adj[i, : len(at)] = at
+    adj, away, away_to = adjacency(ids, shard, near, to, how.degree)
+    hops: list[np.ndarray] = []
     small = x.astype(np.float32)
     k = min(8, n, how.beam)
     medoids = np.unique((centroids(x, k, how.seed, 4) @ x.T).argmax(axis=1))
@@ -193,6 +210,10 @@ def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.nd
                 front = near[small[near] @ part[i].astype(np.float32) >= low]
                 reached.append(front)
             reached = np.concatenate(reached)
+            if len(away):
+                lo, hi = np.searchsorted(away, reached, "left"), np.searchsorted(away, reached, "right")
+                if (shards := np.unique(np.concatenate([away_to[a:b] for a, b in zip(lo, hi)]))).size:
+                    hops.append(np.stack([np.full(len(shards), qid[s + i]), shards]))
             hit = reached[(x[reached] @ part[i] >= how.threshold) & home[reached] & (ids[reached] != qid[s + i])]
             if len(hit):
                 found[s + i], links[s + i] = weight[hit].sum(), len(hit)
@@ -200,21 +221,27 @@ def search_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.nd
                 groups = np.unique(label[mine])
                 if len(groups) > 1:
                     label[np.isin(label, groups)] = groups[0]
-    stars = pd.DataFrame({"id": everyone, "found": 0, "links": 0, "root": everyone[label]})
-    counted = pd.DataFrame({"id": qid, "found": found, "links": links, "root": qid})
-    return pd.concat([stars[stars["id"] != stars["root"]], counted[counted["found"] > 0]])
+    stars = pd.DataFrame({"id": everyone, "found": 0, "links": 0, "root": everyone[label], "hop": -1})
+    counted = pd.DataFrame({"id": qid, "found": found, "links": links, "root": qid, "hop": -1})
+    onward = np.concatenate(hops, axis=1) if hops else np.empty((2, 0), np.int64)
+    onward = pd.DataFrame({"id": onward[0], "found": 0, "links": 0, "root": onward[0], "hop": onward[1]})
+    return pd.concat([stars[stars["id"] != stars["root"]], counted[counted["found"] > 0], onward])
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
-def _routed(c: np.ndarray, chunks: np.ndarray, how: Graph, queries: bool):
-    """Rows (shard, id, home, n, v): of members the two nearest shards, of queries all shards near enough.
+ROUTED = "shard long, id long, home boolean, at long, n long, v binary"
+
 
-    A shard's number is its cluster's and, where the cluster is cut in chunks, the chunk's.
+def _routed(c: np.ndarray, parts: np.ndarray, how: Graph, queries: bool):
+    """Rows (cluster, salt, shard, id, home, at, n, v): of members the two nearest clusters, of queries all near enough.
+
+    A shard's number is its cluster's, where that isn't parted, else -1 and salt deals its rows out. at: the home shard, if known.
     """
-    offset = np.concatenate([[0], np.cumsum(chunks)])[:-1]
+    offset = np.concatenate([[0], np.cumsum(parts)])[:-1]
+    shard_of = np.where(parts == 1, offset, -1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -226,15 +253,36 @@ def _routed(c: np.ndarray, chunks: np.ndarray, how: Graph, queries: bool):
                 take = near >= near[:, :1] - how.margin if queries else np.ones(near.shape, bool)
                 r, j = np.nonzero(take)
                 cluster = order[r, j]
-                if queries:
-                    times = chunks[cluster]
-                    r, j, cluster = np.repeat(r, times), np.repeat(j, times), np.repeat(cluster, times)
-                    chunk = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                else:
-                    chunk = p["id"].to_numpy()[r] * 2654435761 % 2147483647 % chunks[cluster]
                 out = p.iloc[r].reset_index(drop=True)
-                out["shard"], out["home"] = offset[cluster] + chunk, j == 0
-                yield out[["shard", "id", "home", "n", "v"]]
+                out["cluster"], out["shard"], out["home"], out["at"] = cluster, shard_of[cluster], j == 0, shard_of[order[r, 0]]
+                ways = np.maximum(1, parts * how.shard_rows // how.dealt)
+                out["salt"] = out["id"].to_numpy() * 2654435761 % 2147483647 % ways[cluster]
+                yield out[["cluster", "salt", "shard", "id", "home", "at", "n", "v"]]
+
+    return run
+
+
+def _parted(parts: np.ndarray, how: Graph, queries: bool):
+    """Rows of a large cluster with the shards of its own centroids near them: of members the nearest and, at home, the second."""
+    offset = np.concatenate([[0], np.cumsum(parts)])[:-1]
+
+    def run(p: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names = ["shard", "id", "home", "at", "n", "v"]
+        if p.empty or own.empty:
+            return pd.DataFrame({c: [] for c in names})
+        x = _matrix(p["v"])
+        sims = x @ np.frombuffer(own["c"].iloc[0], np.float64).reshape(-1, x.shape[1]).T
+        order = np.argsort(-sims, axis=1)[:, : how.probes if queries else 2]
+        near = np.take_along_axis(sims, order, axis=1)
+        home = p["home"].to_numpy()
+        take = near >= near[:, :1] - how.margin if queries else np.arange(order.shape[1])[None, :] <= home[:, None]
+        r, j = np.nonzero(take)
+        first = offset[p["cluster"].iloc[0]]
+        out = p.iloc[r].reset_index(drop=True)
+        out["shard"] = first + order[r, j]
+        out["at"] = np.where(home[r], first + order[r, 0], out["at"])
+        out["home"] = home[r] & (j == 0)
+        return out[names]
 
     return run
 
@@ -242,9 +290,9 @@ def _routed(c: np.ndarray, chunks: np.ndarray, how: Graph, queries: bool):
 def _search(how: Graph):
     def search(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if m.empty or q.empty:
-            return pd.DataFrame({"id": [], "found": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame({"id": [], "found": [], "links": [], "root": [], "hop": []}).astype("int64")
         m, q = m.sort_values("id"), q.sort_values("id")
-        return search_shard(m["id"].to_numpy(), _matrix(m["v"]), m["home"].to_numpy(), m["n"].to_numpy(), list(m["near"]), q["id"].to_numpy(), _matrix(q["v"]), how)
+        return search_shard(m["id"].to_numpy(), _matrix(m["v"]), m["home"].to_numpy(), m["n"].to_numpy(), int(m["shard"].iloc[0]), list(m["near"]), list(m["to"]), q["id"].to_numpy(), _matrix(q["v"]), how)
 
     return search
 
@@ -252,33 +300,58 @@ def _search(how: Graph):
 def _one_dimension(reps: DataFrame, how: Graph) -> tuple[DataFrame, DataFrame]:
     """(id, found) and edges (id, root) of reps (id, n, v): distinct unit vectors of one dimension."""
     n = reps.count()
-    drawn = reps.filter(F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(1 << 30)) < (1 << 30) * min(1.0, how.sample / max(1, n)))
+    below = lambda share: F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(1 << 30)) < share * (1 << 30)
+    drawn = reps.filter(below(min(1.0, how.sample / max(1, n))))
     sample = _matrix(drawn.orderBy(F.xxhash64("id", F.lit(how.seed))).limit(2 * how.sample).select("v").toPandas()["v"]) if n > 1 else np.empty((0, 1))
     if len(sample) < 1:
         empty = reps.select("id", F.lit(0).cast("long").alias("found"), F.col("id").alias("root")).limit(0)
         return empty.select("id", "found"), empty.select("id", "root")
     c = centroids(sample, min(how.clusters, max(1, -(-n // how.shard_rows))), how.seed)
+    schema = "cluster long, salt long, " + ROUTED
     one = np.ones(len(c), np.int64)
-    schema = "shard long, id long, home boolean, n long, v binary"
-    sizes = reps.mapInPandas(_routed(c, one, how, False), schema).groupBy("shard").count().collect()  # a row for each cluster
-    chunks = one.copy()
+    sizes = reps.mapInPandas(_routed(c, one, how, False), schema).groupBy("cluster").count().collect()  # a row for each cluster
+    parts = one.copy()
     for r in sizes:
-        chunks[r["shard"]] = max(1, -(-r["count"] // (4 * how.shard_rows)))
-    members = stored(reps.mapInPandas(_routed(c, chunks, how, False), schema), "vector-members")
+        parts[r["cluster"]] = -(-r["count"] // how.shard_rows) if r["count"] > 4 * how.shard_rows else 1
+    fine = None
+    if (parts > 1).any():
+        share = F.get(F.expr("array(" + ", ".join(f"{how.sample / (k * how.shard_rows):.9f}D" for k in parts) + ")"), F.col("cluster").cast("int"))
+
+        def own(p: pd.DataFrame) -> pd.DataFrame:
+            k = int(p["cluster"].iloc[0])
+            x = _matrix(p.sort_values("id")["v"])
+            got = centroids(x, int(parts[k]), how.seed)
+            if len(got) < parts[k]:  # of a sample so small some are given twice
+                got = got[np.arange(parts[k]) % len(got)]
+            return pd.DataFrame({"cluster": [k], "c": [got.tobytes()]})
+
+        inner = reps.mapInPandas(_routed(c, parts, how, False), schema).filter("home and shard < 0")
+        fine = stored(inner.filter(below(share)).groupBy("cluster").applyInPandas(own, "cluster long, c binary"), "vector-centroids")
+        ways = F.get(F.expr("array(" + ", ".join(str(max(1, int(k) * how.shard_rows // how.dealt)) for k in parts) + ")"), F.col("cluster").cast("int"))
+        fine = fine.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)).cast("long"))
+
+    def routed(how: Graph, queries: bool) -> DataFrame:
+        rows = reps.mapInPandas(_routed(c, parts, how, queries), schema)
+        if fine is None:
+            return rows.drop("cluster", "salt")
+        large = rows.filter("shard < 0").groupBy("cluster", "salt").cogroup(fine.groupBy("cluster", "salt")).applyInPandas(_parted(parts, how, queries), ROUTED)
+        return rows.filter("shard >= 0").drop("cluster", "salt").unionByName(large)
+
+    members = stored(routed(how, False), "vector-members")
 
     def link(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
-        ids = p["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "near": [ids[x] for x in build(_matrix(p["v"]), how)]})
+        ids, at = p["id"].to_numpy(), p["at"].to_numpy()
+        lists = build(_matrix(p["v"]), how)
+        return pd.DataFrame({"id": ids, "near": [ids[x] for x in lists], "to": [at[x] for x in lists]})
 
-    lists = members.groupBy("shard").applyInPandas(link, "id long, near array<long>")
-    union = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-graph")
+    lists = members.groupBy("shard").applyInPandas(link, "id long, near array<long>, to array<long>")
+    union = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "to")))).alias("e"))
+    union = stored(union.select("id", F.col("e.near").alias("near"), F.col("e.to").alias("to")), "vector-graph")
     nodes = stored(members.join(union, "id"), "vector-nodes")
     how = replace(how, probes=max(how.probes, round(how.probes * (len(c) / 64) ** 0.5)))
     for widening in range(how.widenings + 1):
-        queries = reps.mapInPandas(_routed(c, chunks, how, True), schema).select("shard", "id", "v")
-        got = nodes.groupBy("shard").cogroup(queries.groupBy("shard")).applyInPandas(_search(how), LINKS)
-        got = stored(got, "vector-links")
+        got = _walk(nodes, stored(routed(how, True).select("shard", "id", "v"), "vector-queries"), reps, how)
         if recall(reps, got.groupBy("id").agg(F.sum("links").alias("links")), how, n) >= how.recall:
             break
         how = replace(how, beam=2 * how.beam, margin=2 * how.margin, probes=2 * how.probes)
@@ -287,7 +360,23 @@ def _one_dimension(reps: DataFrame, how: Graph) -> tuple[DataFrame, DataFrame]:
     return got.groupBy("id").agg(F.sum("found").alias("found")), got.select("id", "root")
 
 
-LINKS = "id long, found long, links long, root long"
+def _walk(nodes: DataFrame, queries: DataFrame, reps: DataFrame, how: Graph) -> DataFrame:
+    """What queries (shard, id, v) find there, and in the shards that edges lead to from what they found."""
+    search = lambda q: nodes.groupBy("shard").cogroup(q.groupBy("shard")).applyInPandas(_search(how), LINKS)
+    got = stored(search(queries), "vector-links")
+    all_, asked, new = got, queries.select("shard", "id"), got
+    for _ in range(how.hops):
+        ahead = new.filter("hop >= 0").select(F.col("hop").alias("shard"), "id").distinct()
+        ahead = stored(ahead.join(asked, ["shard", "id"], "left_anti"), "vector-hops")
+        if not ahead.count():
+            break
+        new = stored(search(ahead.join(reps.select("id", "v"), "id").select("shard", "id", "v")), "vector-links")
+        all_, asked = all_.unionByName(new), asked.unionByName(ahead)
+    return all_.filter("hop < 0").drop("hop")
+
+
+FOUND = "id long, found long, links long, root long"
+LINKS = FOUND + ", hop long"
 
 
 def _exact(reps: DataFrame, n: int, how: Graph) -> DataFrame:
@@ -318,7 +407,7 @@ def _exact(reps: DataFrame, n: int, how: Graph) -> DataFrame:
         out = pd.DataFrame({"id": ids, "found": found, "links": links, "root": ids[label]})
         return out[(out["links"] > 0)]
 
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, LINKS)
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, FOUND)
 
 
 def recall(reps: DataFrame, found: DataFrame, how: Graph, n: int) -> float:
@@ -353,7 +442,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """(id, n_links, component) for each row of vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors
-    of different lengths. Equal vectors link with one another; a row without an id counts among their links and
+    of different lengths (each length is a graph of its own). Equal vectors link with one another; a row without an id counts among their links and
     has a null component unless linked. Labels and other columns are not read. An empty table gives an empty one.
     """
     how = how or Graph()
