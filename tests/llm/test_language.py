@@ -1,10 +1,14 @@
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import veilspark.llm.language as L
 from tests.llm.helpers import clashing
-from veilspark.llm.language import Learning, identify, remainder
+from veilspark.llm.language import Learning, fit, identify, infer, remainder, trigrams
 
 SOUNDS = {"aa": "ka lo mi tu ra", "bb": "sch ver ung keit en", "cc": "eau que tion ment oi"}
 ROWS = "doc_id long, text string, lang string"
@@ -36,6 +40,65 @@ def test_held_out_accuracy_mixtures_and_edges(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def plain(text, model):
+    """infer, trigram by trigram in plain loops."""
+    run = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())) + " "
+    at = {g: i for g in {run[i : i + 3] for i in range(len(run) - 2)} for i in [int(trigrams_of(g, model.how.buckets))]}
+    grams = [at[run[i : i + 3]] for i in range(len(run) - 2)]
+    how, langs = model.how, range(len(model.languages))
+    p = [[float(model.logp[k, g]) for g in grams] for k in langs]
+    alone = [sum(x) / how.overlap + model.prior[k] for k, x in enumerate(p)]
+    chosen, share = [max(langs, key=lambda k: alone[k])], [1.0]
+    best = sum(p[chosen[0]])
+    while len(chosen) < len(p):
+        now = [math.log(sum(s * math.exp(p[k][i]) for k, s in zip(chosen, share))) for i in range(len(grams))]
+        gain = {k: sum(math.exp(min(p[k][i] - now[i], 50)) for i in range(len(grams))) / len(grams) for k in langs if k not in chosen}
+        j = max(gain, key=gain.get)
+        if gain[j] <= 1 + 1e-6:
+            break
+        new = [1 / (len(chosen) + 1)] * (len(chosen) + 1)
+        for _ in range(how.rounds):
+            parts = [0.0] * len(new)
+            for i in range(len(grams)):
+                x = [s * math.exp(p[k][i]) for k, s in zip([*chosen, j], new)]
+                parts = [a + b / sum(x) for a, b in zip(parts, x)]
+            new = [a / len(grams) for a in parts]
+        reached = sum(math.log(sum(s * math.exp(p[k][i]) for k, s in zip([*chosen, j], new))) for i in range(len(grams)))
+        if (reached - best) / how.overlap <= how.penalty * math.log(len(grams) + 1):
+            break
+        chosen, share, best = [*chosen, j], new, reached
+    top = max(range(len(share)), key=lambda i: share[i])
+    posterior = 1 / sum(math.exp(a - max(alone)) for a in alone)
+    known = sum(bool(model.known[g]) for g in grams) / len(grams)
+    return model.languages[chosen[top]], share[top] * posterior * known, sorted(zip([model.languages[k] for k in chosen], share), key=lambda x: -x[1])
+
+
+def trigrams_of(gram, buckets):
+    return L._hashed(np.array([ord(c) for c in gram], np.uint32), buckets)[0]
+
+
+def test_against_plain_loops(spark):
+    rng = random.Random(4)
+    rows = table(5, 90)
+    model = fit(spark.createDataFrame(rows, ROWS), "doc_id", "text", "lang", Learning(buckets=1 << 12))
+    texts = [speak(rng, "aa", 40) + " 12! " + speak(rng, "bb", 40), speak(rng, "cc", 9), "Ka-lo?", speak(rng, "aa", 20) + speak(rng, "bb", 25) + " " + speak(rng, "cc", 30), "été"]
+    sizes = set()
+    for t in texts:
+        (a, x, s), (b, y, r) = infer(model, t), plain(t, model)
+        sizes.add(len(s))
+        assert a == b and x == pytest.approx(y, rel=1e-4) and [k for k, _ in s] == [k for k, _ in r]
+        assert [v for _, v in s] == pytest.approx([v for _, v in r], rel=1e-4)
+    assert {1, 2, 3} <= sizes
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    t = speak(random.Random(6), "bb", 400) + " 7 " + speak(random.Random(7), "cc", 300)
+    whole = trigrams(t, 1 << 10)
+    monkeypatch.setattr(L, "CHUNK", 100)
+    for a, b in zip(whole, trigrams(t, 1 << 10)):
+        assert (a == b).all()
+
+
 def test_the_label_is_no_input_of_a_prediction(spark):
     df = spark.createDataFrame(table(3), ROWS)
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))

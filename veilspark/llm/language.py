@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import trim
+
 UNDETERMINED = "und"
 
 
@@ -46,14 +48,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def trigrams(text: str, buckets: int) -> np.ndarray:
-    """Hashed trigrams of the lower-cased letters of the whole text; each run of anything else counts as one space."""
+#: Trigrams that are hashed at once.
+CHUNK = 1 << 18
+
+
+def trigrams(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how often) of the distinct trigrams of the whole text's lower-cased letters; each run of anything else counts as one space."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[cp]
     if not letter.any():
-        return np.empty(0, np.int64)
-    a = np.where(letter, cp, 32).astype(np.uint64)
-    a = np.concatenate([[np.uint64(32)], a[np.concatenate([[True], letter[1:] | letter[:-1]])], [np.uint64(32)]])
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a = np.where(letter, cp, np.uint32(32))
+    a = np.concatenate([np.array([32], np.uint32), a[np.concatenate([[True], letter[1:] | letter[:-1]])], np.array([32], np.uint32)])
+    if len(a) <= CHUNK:
+        return np.unique(_hashed(a, buckets), return_counts=True)
+    counts = np.zeros(buckets, np.int64)
+    for s in range(0, len(a) - 2, CHUNK):
+        counts += np.bincount(_hashed(a[s : s + CHUNK + 2], buckets), minlength=buckets)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def _hashed(a: np.ndarray, buckets: int) -> np.ndarray:
+    a = a.astype(np.uint64)
     mixed = a[:-2] * np.uint64(0x9E3779B185EBCA87) ^ a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ a[2:] * np.uint64(0x165667B19E3779F9)
     mixed ^= mixed >> np.uint64(29)
     return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
@@ -75,7 +92,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, how: Lea
                 for lang, texts in b.groupby("lang")["t"]:
                     n = np.zeros(buckets, np.int64)
                     for t in texts:
-                        np.add.at(n, trigrams(t, buckets), 1)
+                        at, times = trigrams(t, buckets)
+                        n[at] += times
                     at = np.flatnonzero(n)
                     yield pd.DataFrame({"lang": lang, "k": at, "n": n[at]})
 
@@ -89,38 +107,38 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, how: Lea
     return Model(languages, logp, met, prior, how)
 
 
-def _mixture(g: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Shares of the rows of g (log-likelihoods, language x trigram) by EM, and the log-likelihood reached."""
-    top = g.max(axis=0)
+def _mixture(g: np.ndarray, times: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Shares of the rows of g (log-likelihoods, language x distinct trigram) by EM, and the log-likelihood reached."""
+    top, n = g.max(axis=0), times.sum()
     p, share = np.exp(g - top), np.full(len(g), 1 / len(g))
     for _ in range(rounds):
-        share = share * (p / (share @ p)).mean(axis=1)
-    return share, float((np.log(np.maximum(share @ p, 1e-300)) + top).sum())
+        share = share * ((p / (share @ p)) @ times) / n
+    return share, float((np.log(np.maximum(share @ p, 1e-300)) + top) @ times)
 
 
 def infer(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
     """(language, score, shares). The score is the share times the language's posterior times the part of trigrams known."""
-    grams = trigrams(text, model.how.buckets) if text else np.empty(0, np.int64)
+    grams, times = trigrams(text, model.how.buckets) if text else (np.empty(0, np.int64),) * 2
     if not len(grams) or not model.languages:
         return UNDETERMINED, 0.0, []
-    how, g = model.how, model.logp[:, grams].astype(np.float64)
-    alone = g.sum(axis=1) / how.overlap + model.prior
+    how, g, n = model.how, model.logp[:, grams].astype(np.float64), int(times.sum())
+    alone = g @ times / how.overlap + model.prior
     chosen, share = [int(alone.argmax())], np.ones(1)
-    best = float(g[chosen[0]].sum())
+    best = float(g[chosen[0]] @ times)
     while len(chosen) < len(model.languages):
         now = np.logaddexp.reduce(g[chosen] + np.log(np.maximum(share, 1e-300))[:, None], axis=0)
-        gain = np.exp(np.minimum(g - now, 50)).mean(axis=1)  # over 1: a little of that language raises the likelihood
+        gain = np.exp(np.minimum(g - now, 50)) @ times / n  # over 1: a little of that language raises the likelihood
         gain[chosen] = 0
         j = int(gain.argmax())
         if gain[j] <= 1 + 1e-6:
             break
-        new_share, reached = _mixture(g[[*chosen, j]], how.rounds)
-        if (reached - best) / how.overlap <= how.penalty * np.log(len(grams) + 1):
+        new_share, reached = _mixture(g[[*chosen, j]], times, how.rounds)
+        if (reached - best) / how.overlap <= how.penalty * np.log(n + 1):
             break
         chosen, share, best = [*chosen, j], new_share, reached
     top = int(share.argmax())
     posterior = 1 / np.exp(np.minimum(alone - alone.max(), 0)).sum()
-    score = float(share[top] * posterior * model.known[grams].mean())
+    score = float(share[top] * posterior * (model.known[grams] @ times) / n)
     order = np.argsort(-share)
     return model.languages[chosen[top]], min(max(score, 0.0), 1.0), [(model.languages[chosen[i]], float(share[i])) for i in order]
 
@@ -129,7 +147,8 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
     """docs with lang_pred, score and languages (structs of lang and share, the largest first).
 
     learn_from says which rows teach; predictions see the text alone. Null, empty and letterless texts are
-    `und` with score 0, as are all if nothing could be learned. Columns of docs by those names are replaced.
+    `und` with score 0, as are all if nothing could be learned. Columns of docs by those names are replaced. Repeated
+    rows teach and are named as often as they come; an empty table gives an empty one.
     """
     model = fit(docs.filter(F.coalesce(learn_from, F.lit(True))), id_col, text_col, lang_col, how or Learning())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -137,6 +156,7 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
     @F.pandas_udf("struct<lang_pred string, score double, languages array<struct<lang string, share double>>>")
     def predict(texts: pd.Series) -> pd.DataFrame:
         out = [infer(shared.value, t) for t in texts]
+        trim()
         return pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "languages": [[{"lang": k, "share": s} for k, s in x[2]] for x in out]})
 
     named = docs.drop("lang_pred", "score", "languages", "__language").withColumn("__language", predict(F.col(text_col)))
