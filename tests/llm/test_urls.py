@@ -52,3 +52,13 @@ def test_many_rules(spark):
 def test_plan_has_no_python_and_no_shuffle(spark):
     plan = judge(spark.createDataFrame([("http://a.org/",)], "url string"), [prefix_rule(*r) for r in URL_RULES])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_rules_without_tokens_run_for_every_url(spark):
+    rules = [prefix_rule("block", "example.org", "/a/"), Rule("digits", "block", r"^[^/]*/[0-9]+$"), Rule("x", "allow", "never")]
+    urls = ["http://example.org/a/b", "http://example.com/123", "http://example.com/12x", None, ""]
+    got = {r["url"]: (r["rule"], r["verdict"]) for r in judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert got["http://example.org/a/b"] == ("example.org/a/", "block") and got["http://example.com/123"] == ("digits", "block")
+    assert got["http://example.com/12x"] == got[None] == got[""] == (None, "allow")
+    only = judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules[1:]).filter("rule = 'digits'")
+    assert only.count() == 1

@@ -1,7 +1,7 @@
 """URL rules indexed by their rarest literal token, in DataFrame operations only.
 
 A rule is a regular expression over host and path with some literal tokens that every url it fits must hold.
-It is filed under the one that fewest urls hold. A url's tokens fetch the rules filed under them, and only those
+It is filed under the one that fewest urls hold; a rule without such tokens is run for every url. A url's tokens fetch the rules filed under them, and only those
 run their expressions. The index is a literal of the plan: an array of hash slots, so a token costs one look-up
 however many rules there are, and nothing is shuffled. Rules are held by the driver and so bounded by it.
 """
@@ -22,12 +22,15 @@ WORD = "[A-Za-z0-9]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """name is what is reported and, by its length, ranked; tokens start with h: (a host label) or p: (a word of the path)."""
+    """name is what is reported and, by its length, ranked; tokens start with h: (a host label) or p: (a word of the path).
+
+    The pattern must fit no url without all of the tokens; no tokens are right for any pattern, but cost a run for each url.
+    """
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
 
 
 def prefix_rule(verdict: str, host: str, path: str) -> Rule:
@@ -61,11 +64,11 @@ def _tokens(host: Column, path: Column) -> Column:
 
 
 def rarest_tokens(urls: DataFrame, tokens: Column, rules: list[Rule]) -> dict[str, str]:
-    """name -> the rule's token that fewest urls hold; of equals the longest, then the first."""
+    """name -> the rule's token that fewest urls hold; of equals the longest, then the first. Rules without tokens have no entry."""
     wanted = sorted({t for r in rules for t in r.tokens})
     held = F.array_intersect(tokens, F.from_json(F.lit(json.dumps(wanted)), "array<string>"))
     count = {r[0]: r[1] for r in urls.select(F.explode(held).alias("t")).groupBy("t").count().collect()}  # the rules' tokens at most
-    return {r.name: min(r.tokens, key=lambda t: (count.get(t, 0), -len(t), t)) for r in rules}
+    return {r.name: min(r.tokens, key=lambda t: (count.get(t, 0), -len(t), t)) for r in rules if r.tokens}
 
 
 def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -83,7 +86,8 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", otherwise:
     if ranked:
         rare = rarest_tokens(base, tokens, ranked)
         for i, r in enumerate(ranked):
-            filed.setdefault(rare[r.name], []).append(i)
+            if r.name in rare:
+                filed.setdefault(rare[r.name], []).append(i)
     width = 1 << max(1, (2 * len(filed)).bit_length())
     slots: list[list[dict]] = [[] for _ in range(width)]
     for t, at in filed.items():
@@ -96,7 +100,8 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", otherwise:
         return F.flatten(F.transform(F.filter(slot, lambda e: e["t"] == token), lambda e: e["at"]))
 
     subject = F.concat("__host", "__path")
-    fits = F.filter(F.array_distinct(F.flatten(F.transform(tokens, fetch))), lambda i: F.regexp_like(subject, F.element_at(table, i + 1)["p"]))
+    always = F.from_json(F.lit(json.dumps([i for i, r in enumerate(ranked) if not r.tokens])), "array<int>")
+    fits = F.filter(F.array_distinct(F.concat(F.flatten(F.transform(tokens, fetch)), always)), lambda i: F.regexp_like(subject, F.element_at(table, i + 1)["p"]))
     best = F.element_at(table, F.array_min(fits) + 1) if ranked else F.lit(None).cast("struct<n string, v string, p string>")
     judged = base.withColumn("__best", best)
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
