@@ -34,8 +34,9 @@ def test_blocks_are_stitched(spark, tmp_path, block):
 
 def test_broken_files_raise(spark, tmp_path):
     (tmp_path / "odd").write_bytes(b"abc")
-    with pytest.raises(ValueError):
-        scan_token_files(spark, f"file://{tmp_path}", ["odd"])
+    for name in ("odd", "missing"):
+        with pytest.raises(Exception, match="not whole ids"):
+            scan_token_files(spark, f"file://{tmp_path}", [name]).collect()
 
 
 def test_files_are_flat(spark, tmp_path):

@@ -48,17 +48,25 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"file string, doc_no long, id {kind}")
 
 
-def scan_token_files(spark: SparkSession, folder: str, names: list[str], separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
+def scan_token_files(spark: SparkSession, folder: str, files: DataFrame | list[str], separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """(file, doc_no, start, n_tokens, ended) for each document of the files, the separator not counted.
 
-    Tokens after a file's last separator are a document that is not ended; an empty file has none. A file of an odd
-    number of bytes raises. block is a number of bytes and may be smaller than a document.
+    files are names, or a table (file) of them; tasks look up their sizes. Tokens after a file's last separator are a
+    document that is not ended; an empty file has none. A file of an odd number of bytes raises, as does one that
+    isn't there. block is a number of bytes and may be smaller than a document.
     """
-    where, root = filesystem(folder)
-    sizes = [(n, where.get_file_info(f"{root}/{n}").size) for n in names]
-    if odd := [n for n, s in sizes if s % 2]:
-        raise ValueError(f"not whole ids: {odd[0]}")
-    files = spark.createDataFrame(sizes, "file string, size long").filter("size > 0")
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = filesystem(folder)
+        for b in batches:
+            sizes = [fs.get_file_info(f"{top}/{n}").size for n in b["file"]]
+            if odd := [n for n, s in zip(b["file"], sizes) if s is None or s % 2]:
+                raise ValueError(f"not whole ids: {odd[0]}")
+            yield pd.DataFrame({"file": b["file"], "size": sizes})
+
+    if isinstance(files, list):
+        files = spark.createDataFrame([(n,) for n in files], "file string")
+    files = files.select("file").mapInPandas(sized, "file string, size long").filter("size > 0")
     blocks = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("at"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,11 +96,14 @@ def scan_token_files(spark: SparkSession, folder: str, names: list[str], separat
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, n_tokens) for each row of docs, counted in token files that are written for it. Nulls and empty texts count 0."""
+    """(id, n_tokens, doc_no, start) for each row of docs, counted in token files that are written for it.
+
+    Nulls and empty texts count 0. Repeated rows, and rows of one id, are counted each on its own; null ids stay null.
+    An empty table gives an empty one. Other columns are not read.
+    """
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     listed = stored(write_token_files(docs, folder, id_col, text_col, path), "token-files")
-    names = [r[0] for r in listed.select("file").distinct().collect()]  # one for each task
-    counted = scan_token_files(spark, folder, names)
+    counted = scan_token_files(spark, folder, listed.select("file").distinct())
     # both sides grow with the corpus: never broadcast, however well they compress
     return listed.join(counted.hint("merge"), ["file", "doc_no"]).select("id", "n_tokens", "doc_no", "start")
