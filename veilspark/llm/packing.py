@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stored
+from veilspark.llm.common import stored, trim
 from veilspark.llm.tokens import encode, vocabulary_path
 
 #: Rows of a group that one window ranks, on average over the fullest bin.
@@ -38,9 +38,9 @@ class Packing:
 
 
 def pieces(docs: DataFrame, how: Packing, id_col: str, text_col: str, path: str, keep_ids: bool) -> DataFrame:
-    """(id, start, length, doc_tokens, crc, crc_a, crc_b[, ids]): whole windows and the remainder of each document.
+    """(id, start, length, doc_tokens, crc, crc_a, crc_b[, ids], again): whole windows and the remainder of each document.
 
-    crc_a and crc_b are those of the halves of a remainder over half a window, should the plan cut it there.
+    again numbers equal pieces that come together, so that very many of them are dealt to many groups. crc_a and crc_b are those of the halves of a remainder over half a window, should the plan cut it there.
     """
     half = how.window // 2
 
@@ -55,14 +55,19 @@ def pieces(docs: DataFrame, how: Packing, id_col: str, text_col: str, path: str,
                     crc = [zlib.crc32(x.tobytes()) for x in (part, part[:half], part[half:])] if long else [zlib.crc32(part.tobytes()), 0, 0]
                     out.append((key, s, len(part), len(ids), *crc, *([part.tobytes()] if keep_ids else [])))
                 if len(out) >= 5000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield told_apart(out)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            yield told_apart(out)
+            trim()
+
+    def told_apart(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=names)
+        return frame.assign(again=frame.groupby(["id", "start", "crc"], dropna=False).cumcount() if len(frame) else [])
 
     names = ["id", "start", "length", "doc_tokens", "crc", "crc_a", "crc_b", *(["ids"] if keep_ids else [])]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names[1:])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    schema = f"id {kind}, " + ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in [*names[1:], "again"])
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInPandas(run, schema)
 
 
 def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:
@@ -199,9 +204,9 @@ def pack(docs: DataFrame, how: Packing | None = None, id_col: str = "doc_id", te
     how = how or Packing()
     path = path or vocabulary_path("byte_bpe_50k.tiktoken")
     own = stored(pieces(docs, how, id_col, text_col, path, keep_ids), "pack-pieces")
-    rows = own.withColumn("bin", F.ceil(F.col("length") / how.unit).cast("long")).withColumn("h", F.xxhash64("id", "start", "crc"))
+    rows = own.withColumn("bin", F.ceil(F.col("length") / how.unit).cast("long")).withColumn("h", F.xxhash64("id", "start", "crc", "again"))
     groups = 1 << min(max((own.count() // GROUP_ROWS).bit_length(), 6), 20)
-    rows = rows.withColumn("part", F.pmod("h", F.lit(groups)).cast("int")).drop("h")
+    rows = rows.withColumn("part", F.pmod("h", F.lit(groups)).cast("int")).drop("h", "again")
     sums = stored(rows.groupBy("bin", "part").agg(F.count("*").alias("n")), "pack-counts")
     counts = np.zeros(how.bins + 1, np.int64)
     for r in sums.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most one row for each bin
