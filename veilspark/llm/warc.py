@@ -342,11 +342,16 @@ def with_revisits(pages: DataFrame, id_col: str, payload: str, least_bytes: int
     return pages.join(later, F.col(id_col).eqNullSafe(F.col("k")) & (F.col("sha1") == F.col("s")), "left").drop("k", "s")
 
 
-def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0) -> None:
-    """Writes one record for each row: response, or revisit of the record that holds the same payload. Null text is an empty payload."""
+def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least_bytes: int = 0, date_col: str | None = None) -> None:
+    """Writes one record for each row: response, or revisit of the record that holds the same payload. Null text is an empty payload.
+
+    date_col gives WARC-Date (a timestamp); without it, and where it is null, that is the start of 1970. Null ids and rows of one
+    id have records of their own; an empty table writes no record. Other columns are not read.
+    """
     spark = pages.sparkSession
     register(spark)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("payload"))
+    date = F.date_format(F.to_utc_timestamp(F.col(f"`{date_col}`"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(None).cast("string")
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8").alias("payload"), date.alias("date"))
     rows = with_revisits(rows, "id", "payload", least_bytes)
 
     @F.pandas_udf("string")
@@ -360,6 +365,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         base32("sha1").alias("payload_digest"),
         F.when(F.col("first").isNotNull(), record_id(F.col("first"), F.col("sha1"))).alias("refers_to"),
         "payload",
+        "date",
     ).write.format(FORMAT).mode("append").save(path)
 
 
