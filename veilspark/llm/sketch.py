@@ -156,6 +156,7 @@ def next_in_order(docs: DataFrame, id_col: str, text_col: str, each, schema: str
     """
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     size = int(str(docs.select(F.col(f"`{text_col}`"))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # of no known size: then the session says how many
     n = min(max(2, 2 * partitions(docs.sparkSession), -(-size // RANGE_BYTES)), MOST_RANGES)
     cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], min(10 * n, 1_000_000))).first()[0] or []
     cuts = np.array(cuts, np.int64)
