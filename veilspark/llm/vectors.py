@@ -328,7 +328,7 @@ def _one_dimension(reps: DataFrame, how: Graph) -> tuple[DataFrame, DataFrame]:
         inner = reps.mapInPandas(_routed(c, parts, how, False), schema).filter("home and shard < 0")
         fine = stored(inner.filter(below(share)).groupBy("cluster").applyInPandas(own, "cluster long, c binary"), "vector-centroids")
         ways = F.get(F.expr("array(" + ", ".join(str(max(1, int(k) * how.shard_rows // how.dealt)) for k in parts) + ")"), F.col("cluster").cast("int"))
-        fine = fine.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)).cast("long"))
+        fine = fine.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (ways - 1).cast("long"))))
 
     def routed(how: Graph, queries: bool) -> DataFrame:
         rows = reps.mapInPandas(_routed(c, parts, how, queries), schema)
