@@ -43,7 +43,7 @@ def test_stages_one_after_another(spark, tmp_path):
 
 
 def test_run(spark, tmp_path):
-    clashing(spark.createDataFrame(documents(14), DOCS), "id", "t", "row", "__x").write.parquet(f"{tmp_path}/documents.parquet")
+    clashing(spark.createDataFrame(documents(14), DOCS), "id", "t", "row", "__x", "__id", "__key", "__shard", "__row").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() > 50
     assert 4 <= len(P.STAGES) <= 5
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")

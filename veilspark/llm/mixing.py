@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import n_words, stored
+from veilspark.llm.common import free_name, n_words, stored
 
 #: Multipliers of the block permutations: primes, of which those that don't divide the number of blocks are coprime to it.
 PRIMES = (1073741789, 1073741783, 1073741741, 1073741723, 1073741719, 1073741717, 1073741689, 1073741671)
@@ -257,7 +257,7 @@ def _dealt(rows: DataFrame, heavy: DataFrame, seed: int) -> DataFrame:
 def mixed_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself, shard by shard and each shard in order of place: the columns of docs with __shard and __place.
 
-    A row for each draw, cut where only its first words are taken.
+    A row for each draw, cut where only its first words are taken. Where docs has columns of those names, underscores are added.
     """
     each = mixed.select("row", "size", F.explode("draws").alias("d"))
     # a piece ends where a word does, so the first pieces are the first words with the white space before them
@@ -265,5 +265,6 @@ def mixed_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     cut = F.array_join(F.slice(pieces, 1, F.col("d.words").cast("int")), "")
     text = F.when(F.col("d.words") < F.col("size"), cut).otherwise(F.col(f"row.`{text_col}`"))
     names = [f.name for f in mixed.schema["row"].dataType.fields]
-    rows = each.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], F.col("d.shard").alias("__shard"), F.col("d.place").alias("__place"))
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__place")
+    shard, place = free_name("__shard", names), free_name("__place", names)
+    rows = each.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], F.col("d.shard").alias(shard), F.col("d.place").alias(place))
+    return rows.repartition(shard).sortWithinPartitions(shard, place)
