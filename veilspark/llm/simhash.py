@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stored, words_of
+from veilspark.llm.common import stored, trim, words_of
 from veilspark.llm.components import connected_components
 
 BITS = 64
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fp = [simhash(fingerprint_hashes(t, shingle)) for t in b["t"]]
             yield pd.DataFrame({"id": b["id"], "fp": np.array(fp, np.int64)})
+            trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, fp long")
