@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -75,9 +76,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps, which it does when the driver's heap is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps, which it does when the driver's heap is collected.
+
+    A table that was written holds its step's files as long as a variable of the caller holds it.
+    """
+    for _ in range(3):  # events about the step hold it for a moment, and its files go a moment after it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import drop_path, new_path, pack, pack_ints, partitions, release, unpack, unpack_ints, words_of
+from veilspark.llm.common import drop_path, new_path, pack, pack_ints, partitions, release, trim, unpack, unpack_ints, words_of
 from veilspark.llm.sketch import WordHashes
 
 #: Hash of no word: the end of a text.
@@ -158,15 +158,45 @@ class Radix:
             yield {"node": node, "src": src, "cols": freeze([a[s:e] for a in arrays], self.keys)}
 
 
+def by_rank(keys: int) -> list[int]:
+    """Columns in the order that rows are sorted by: the bucket, the history's words from the last back to the first, the word."""
+    return [0, *range(keys - 1, 0, -1), keys]
+
+
+def order_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by non-negative columns, the first counting most; as many of them as fit are sorted as one number."""
+    packed: list[np.ndarray] = []
+    room = 0
+    for c in reversed(columns):
+        bits = max(1, int(c.max(initial=0)).bit_length())
+        if packed and room + bits <= 63:
+            packed[-1] = packed[-1] | (c << room)
+            room += bits
+        else:
+            packed.append(c)
+            room = bits
+    return np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed)
+
+
 def freeze(arrays: list[np.ndarray], keys: int) -> list[bytes]:
-    """Packed, the column that rows of a bucket are in order of as differences."""
-    lead = max(1, keys - 1)
-    return [pack_ints(np.diff(a, prepend=0) if i == lead else a) for i, a in enumerate(arrays)]
+    """Packed; of sorted columns the differences within rows that agree in the columns before."""
+    out, same = list(arrays), np.ones(max(0, len(arrays[0]) - 1), bool)
+    for i in by_rank(keys):
+        a = arrays[i]
+        out[i] = np.concatenate([a[:1], np.where(same, a[1:] - a[:-1], a[1:])])
+        same = same & (a[1:] == a[:-1])
+    return [pack_ints(x) for x in out]
 
 
 def thaw(cols, keys: int) -> list[np.ndarray]:
     arrays = [unpack_ints(x) for x in cols]
-    arrays[max(1, keys - 1)] = np.cumsum(arrays[max(1, keys - 1)])
+    new = np.zeros(len(arrays[0]), bool)  # rows that start anew in the column
+    new[:1] = True
+    for i in by_rank(keys):
+        sums = np.cumsum(arrays[i])
+        at = np.flatnonzero(new)
+        arrays[i] = sums - np.repeat(sums[at] - arrays[i][at], np.diff(np.append(at, len(new))))
+        new[1:] |= arrays[i][1:] != arrays[i][:-1]
     return arrays
 
 
@@ -187,22 +217,20 @@ def _in_frames(rows: Iterator[dict], columns: list[str], most: int = 256) -> Ite
 
 
 def merged(pieces: list[list[np.ndarray]], keys: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pieces (bucket, keys.., n, others..) in one: distinct keys in order of bucket, the last history word back to the first, then the word;
-    n added up, of the others that of a learned one; and the place of each row of each piece."""
+    """Pieces (bucket, keys.., n, others..) in one: sorted distinct keys with n added up; the others are the same in all pieces where n
+    is not 0. Also the place of each row of each piece."""
     arrays = [np.concatenate(x) for x in zip(*pieces)]
-    ks = arrays[1 : 1 + keys]
-    order = np.lexsort((-arrays[1 + keys], ks[-1], *ks[:-1], arrays[0]))
+    order = order_of([arrays[i] for i in by_rank(keys)])
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for a in ks:
-        s = a[order]
+    for i in range(1, 1 + keys):
+        s = arrays[i][order]
         new[1:] |= s[1:] != s[:-1]
     at = np.flatnonzero(new)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    total = np.add.reduceat(arrays[1 + keys][order], at) if len(at) else arrays[1 + keys]
-    out = [a[order][at] for a in arrays]
-    out[1 + keys] = total
+    out = [a[order[at]] for a in arrays]
+    out[1 + keys] = np.add.reduceat(arrays[1 + keys][order], at) if len(at) else arrays[1 + keys]
     return out, place
 
 
@@ -212,6 +240,7 @@ def _merge(radix: Radix, level: int, smooth: int, reply: bool):
     keys = radix.keys
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
+        trim()  # of the node before
         pieces = [thaw(c, keys) for c in p["cols"]]
         sizes = [len(x[0]) for x in pieces]
         cols, place = merged(pieces, keys)
@@ -272,7 +301,6 @@ def _passed_on(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
 
 def _table(df: DataFrame, path: str, *by: str) -> DataFrame:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)  # of arrays that are compressed already
-    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -334,6 +362,7 @@ def _blocks(how: Katz):
                 if size >= how.block_tokens:
                     yield row()
                     ids, train, tokens, size = [], [], [], 0
+                    trim()
         if tokens:
             yield row()
 
@@ -414,8 +443,9 @@ class Fitted:
 class Block:
     """The distinct n-grams of a block, order after order, and what was answered of them.
 
-    Numbers: up to top words, top + 1 all unknown words, top + 2 the history of a text's start. place[i] is where
-    the n-gram that ends in token i is, -1 where its history was never learned or would begin before the start.
+    Numbers: up to top words, top + 1 all unknown words, top + 2 the history of a text's start; n-grams are held by
+    the ranks of their numbers in the block. place[i] is where the n-gram that ends in token i is, -1 where its
+    history was never learned or would begin before the start.
     """
 
     def __init__(self, r, fit: Fitted):
@@ -424,34 +454,48 @@ class Block:
         number, counts = unpack_ints(r.number), unpack_ints(r.counts)
         self.learned = np.repeat(unpack(r.train, np.uint8).astype(bool), self.lens)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.nv = len(number)
-        self.word = np.where(number[codes] > 0, codes, self.nv)
-        self.numbers = np.concatenate([number, [fit.top + 1, fit.top + 2]])
-        self.cols, self.place = [self.numbers], self.word
-        self.c, self.t = np.concatenate([counts, [0, fit.hot]]), np.zeros(self.nv + 2, np.int64)
+        numbers = np.concatenate([number, [fit.top + 1, fit.top + 2]])  # the unknown words of the block, all 0, are never in an n-gram
+        self.by = np.argsort(numbers, kind="stable")
+        self.numbers = numbers[self.by]
+        rank = np.empty_like(self.by)
+        rank[self.by] = np.arange(len(rank))
+        self.start = len(number) + 1  # as a rank it is the last, as an unknown word is the last but one
+        self.word = np.where(number > 0, rank[:-2], len(number))[codes]
+        self.cols, self.place = [np.arange(len(numbers))], self.word
+        self.c, self.t = np.concatenate([counts, [0, fit.hot]])[self.by], np.zeros(len(numbers), np.int64)
+        self.c[self.numbers == 0] = 0
         self.p = fit.uni.p(self.c[self.word])
 
-    def ask(self, learn: bool = True) -> list[np.ndarray]:
+    def ask(self) -> list[np.ndarray]:
         """The n-grams of the next order: bucket, n numbers, times learned, whether dealt by n-gram, count and total below."""
         before = np.concatenate([[-1], self.place[:-1]])
-        before[self.starts] = self.nv + 1 if self.order == 1 else -1
+        before[self.starts] = self.start if self.order == 1 else -1
         asked = np.flatnonzero((before >= 0) & (self.c[before] > 0))
-        keys, first, at = np.unique(before[asked] * (self.nv + 1) + self.word[asked], return_index=True, return_inverse=True)
-        h, w = keys // (self.nv + 1), keys % (self.nv + 1)
-        cols = [c[h] for c in self.cols] + [self.numbers[w]]
-        hot = (self.c[h] >= self.fit.hot).astype(np.int64)
-        n = np.bincount(at[self.learned[asked]], minlength=len(keys)) if learn else np.zeros(len(keys), np.int64)
+        before, word = before[asked], self.word[asked]
+        hot = (self.c >= self.fit.hot).astype(np.int64)[before]
+        cols = [c[before] for c in self.cols] + [word]
+        mixed = _mixed([self.numbers[c] for c in self.cols]).view(np.int64)[before]  # of the history
+        if hot.any():
+            mixed = np.where(hot > 0, _mixed([mixed, self.numbers[word]]).view(np.int64), mixed)
+        bucket = _bucket_of(mixed, self.fit.buckets)
+        keys = len(cols)
+        order = order_of([[bucket, *cols][i] for i in by_rank(keys)])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        cols = [c[order] for c in cols]
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(new)
+        place = np.cumsum(new) - 1
+        n = np.add.reduceat(self.learned[asked][order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        first = order[at]
         own = self.place[asked[first]]
-        bucket = _bucket_of(_mixed([*cols[:-1], np.where(hot > 0, cols[-1], -1)]).view(np.int64), self.fit.buckets)
-        order = np.lexsort((cols[-1], *cols[:-1], bucket))
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        below_c, below_t = self.c[own][order], self.t[own][order]
-        self.cols = [c[order] for c in cols]
-        self.place = np.full(len(before), -1)
-        self.place[asked] = where[at]
+        below_c, below_t = self.c[own], self.t[own]
+        self.cols = [c[at] for c in cols]
+        self.place = np.full(len(self.place), -1)
+        self.place[asked[order]] = place
         self.order += 1
-        return [bucket[order], *self.cols, n[order], hot[order], below_c, below_t]
+        return [bucket[first], *[self.numbers[c] for c in self.cols], n, hot[first], below_c, below_t]
 
     def take(self, c: np.ndarray, t: np.ndarray, back: np.ndarray) -> None:
         """What was answered: counts, totals of the histories, and where the count is 0 their backoff weight."""
@@ -475,6 +519,8 @@ def _ask_grams(radix: Radix, fit: Fitted):
                 block = Block(r, fit)
                 block.retake(r.got)
                 yield from _in_frames(radix.split(block.ask(), r.block, 1), ["node", "src", "cols"])
+                del block
+                trim()
 
     return run
 
@@ -535,6 +581,7 @@ def _scored(fit: Fitted):
         names = ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if b.empty:
             return pd.DataFrame({c: [] for c in names})
+        trim()  # of the block before
         r = next(b.itertuples())
         block = Block(r, fit)
         count = block.c[block.word]
@@ -566,8 +613,8 @@ class Model:
         return spark.read.schema(TABLE_SCHEMA).parquet(f"{self.path}/order={order}").select("node", "cols")
 
 
-def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: Katz, base: Model | None, path: str, reply: bool) -> tuple[Model, DataFrame | None]:
-    """Learns from rows of docs (on top of nothing) or asks base, and with reply scores all of docs."""
+def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: Katz, base: Model | None, path: str, reply: bool, keep: bool) -> tuple[Model, DataFrame | None]:
+    """Learns from rows of docs or asks base, and with reply scores all of docs. Unless keep, tables go as soon as they aren't needed."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"), F.coalesce(learn_from, F.lit(True)).alias("train"))
     held: list[str] = []
@@ -576,7 +623,6 @@ def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: K
         """df written; the table it came from is no longer needed."""
         to = new_path(spark, name)
         df.write.parquet(to)
-        release(spark)
         while held:
             drop_path(spark, held.pop())
         held.append(to)
@@ -588,6 +634,7 @@ def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: K
     radix = Radix(buckets, how.fan, sources, 1)
     asks = blocks.select("block", "lens", "train", "vocab", "code", "codes").mapInPandas(_ask_words(radix), ASK_SCHEMA)
     words = Buckets(asks, radix, how, f"{path}/order=1", base.table(spark, 1) if base else None)
+    release(spark)
     if base:
         fit = base.fitted
     else:
@@ -595,13 +642,16 @@ def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: K
         few = few if len(few) else np.zeros(how.smooth + 2)
         fit = Fitted(unigrams(n, v, few, how.k), top * buckets, buckets, max(1, n // (4 * buckets), n // how.most_hot), sources=(discounts(few, how.k)[1],))
     replies = words.replies(_number_words(buckets))
-    numbered = blocks.drop("vocab", "tokens").groupBy("block").cogroup(replies.groupBy("src")).applyInPandas(_numbered, NUMBERED_SCHEMA)
-    blocks = cut(numbered, "katz-numbered")
+    blocks = cut(blocks.drop("vocab", "tokens").groupBy("block").cogroup(replies.groupBy("src")).applyInPandas(_numbered, NUMBERED_SCHEMA), "katz-numbered")
+    release(spark)
+    if not keep:
+        drop_path(spark, f"{path}/order=1")
     scores = None
     for order in range(2, how.order + 1):
         radix = replace(radix, keys=order)
         asks = blocks.mapInPandas(_ask_grams(radix, fit), ASK_SCHEMA)
         grams = Buckets(asks, radix, how, f"{path}/order={order}", base.table(spark, order) if base else None, reply or order < how.order)
+        release(spark)
         if not base:
             few = grams.sums()[3]
             d, sources_of = discounts(few if len(few) else np.zeros(how.smooth + 2), how.k)
@@ -615,6 +665,9 @@ def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: K
         both = blocks.groupBy("block").cogroup(replies.groupBy("src"))
         if order < how.order:
             blocks = cut(both.applyInPandas(_taken, NUMBERED_SCHEMA), f"katz-order-{order}")
+            release(spark)
+            if not keep:
+                drop_path(spark, f"{path}/order={order}")
         else:
             scores = both.applyInPandas(_scored(known), SCORE_SCHEMA)
     if reply and how.order < 2:
@@ -626,22 +679,22 @@ def katz_fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "d
     """The model of the rows of docs that teach (null: they do), its tables written below path, by default in the session's shared folder."""
     how, path = how or Katz(), path or new_path(docs.sparkSession, "katz-model")
     rows = docs if learn_from is None else docs.filter(F.coalesce(learn_from, F.lit(True)))
-    return _run(rows, F.lit(True), id_col, text_col, how, None, path, False)[0]
+    return _run(rows, F.lit(True), id_col, text_col, how, None, path, False, True)[0]
 
 
 def katz_ask(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of rows that the model need not have seen, as katz_scores gives them; train is false throughout."""
     path = new_path(docs.sparkSession, "katz-asked")
-    return _run(docs, F.lit(False), id_col, text_col, model.how, model, path, True)[1]
+    return _run(docs, F.lit(False), id_col, text_col, model.how, model, path, True, False)[1]
 
 
 def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", how: Katz | None = None, path: str | None = None) -> DataFrame:
     """For each row of docs: id, train, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
-    The same as katz_fit and katz_ask, in one pass over the tables. learn_from says which rows teach (null: they
+    The same as katz_fit and katz_ask, in one pass over the tables, which stay if a path is given. learn_from says which rows teach (null: they
     do). ASCII letters count in lower case, words part at ASCII white space; a null or empty text is its end alone.
     Repeated rows teach and are scored as often as they come. Where nothing is learned every token has probability
     1. An empty table gives an empty one. Columns but id and text are read only where learn_from names them.
     """
-    how, path = how or Katz(), path or new_path(docs.sparkSession, "katz-model")
-    return _run(docs, learn_from, id_col, text_col, how, None, path, True)[1]
+    how, to = how or Katz(), path or new_path(docs.sparkSession, "katz-model")
+    return _run(docs, learn_from, id_col, text_col, how, None, to, True, path is not None)[1]
