@@ -2,8 +2,10 @@
 
 All shingles have one order, common ones last. Two sets of similarity t or more share one of their first
 n - ceil(t n) + 1 shingles, so every such pair meets under a shingle and none is lost. Pairs that meet are
-verified on the whole sets. Under a shingle of many texts a star and a chain are verified first; only
-where texts are still unconnected are all of them compared, in pairs of chunks.
+first held against the part of their shingles that hash below a quarter of the range: where that part alone
+differs more than similar sets may, the pair is out, for certain. The rest is verified on the whole sets. Under a
+shingle of many texts a star and a chain are verified first; only where texts are still unconnected are all of
+them compared, in pairs of chunks.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stored
+from veilspark.llm.common import discard, free_name, stored, trim, words_of
 from veilspark.llm.components import connected_components
 from veilspark.llm.simhash import fingerprint_hashes, near_links, simhash
+from veilspark.llm.sketch import WordHashes, shingle_hashes
 
 
 @dataclass(frozen=True)
@@ -35,10 +38,25 @@ class Copies:
     #: Texts under a shingle all pairs of which are candidates at once; texts of a chunk.
     small: int = 16
     chunk: int = 1024
+    #: Distinct words whose hashes a Python worker remembers.
+    memory: int = 1 << 18
 
 
-def shingle_set(text: str | None, how: Copies) -> np.ndarray:
-    return np.unique(fingerprint_hashes(text, how.shingle))
+def shingle_set(text: str | None, how: Copies, seen: WordHashes) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles; none for a wordless text."""
+    words = words_of(text)
+    return np.unique(shingle_hashes(np.fromiter(map(seen.__getitem__, words), np.uint64, len(words)), how.shingle))
+
+
+def probe(h: np.ndarray) -> np.ndarray:
+    """Of a shingle set the hashes below a quarter of the range, cut to 32 bits: may make two alike, never one two."""
+    return (h[: np.searchsorted(h, np.uint64(1 << 62))] >> np.uint64(30)).astype(np.uint32)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n: int, m: int, how: Copies) -> bool:
+    """False only if sets of n and m shingles with probes a and b differ too much: what differs in a part differs in the whole."""
+    differ = len(a) + len(b) - np.isin(a, b).sum() - np.isin(b, a).sum()
+    return differ <= (1 - how.similarity) / (1 + how.similarity) * (n + m) + 1e-9
 
 
 def needed(n, how: Copies):
@@ -50,15 +68,16 @@ def similar(a: np.ndarray, b: np.ndarray, how: Copies) -> bool:
     return both >= how.similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _common(keyed: DataFrame, text: str, how: Copies) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found more than once in a sample, sorted, and how often."""
-    share = min(1.0, how.sample / max(1, keyed.count()))
-    drawn = keyed.filter(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int((1 << 30) * share)).select(F.col(text).alias("t"))
+def _common(own: DataFrame, how: Copies) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found more than once in a sample of own (k, t), sorted, and how often."""
+    share = min(1.0, how.sample / max(1, own.count()))
+    drawn = own.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * share)).select("t")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes(how.memory)
         for b in batches:
             for t in b["t"]:
-                yield pd.DataFrame({"h": shingle_set(t, how).view(np.int64)})
+                yield pd.DataFrame({"h": shingle_set(t, how, seen).view(np.int64)})
 
     counts = drawn.mapInPandas(each, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(how.common).toPandas()
     counts = counts.assign(u=counts["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
@@ -67,19 +86,22 @@ def _common(keyed: DataFrame, text: str, how: Copies) -> tuple[np.ndarray, np.nd
 
 def _prefixes(common: np.ndarray, times: np.ndarray, how: Copies, fp: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes(how.memory)
         for b in batches:
             rows = []
             for t in b["t"]:
-                h = shingle_set(t, how)
+                h = shingle_set(t, how, seen)
                 c = np.zeros(len(h), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     c = np.where(common[at] == h, times[at], 0)
                 take = int(len(h) - needed(len(h), how) + 1) if len(h) else 0
                 first = h[np.lexsort((h, c))[:take]]
-                rows.append((np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h), first.view(np.int64), simhash(fingerprint_hashes(t)) if fp else 0))
-            s, n, prefix, f = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"k": b["k"], "i": b["i"], "s": np.array(s, np.int64), "n": np.array(n, np.int32), "prefix": pd.Series(prefix, dtype=object, index=b.index), "fp": np.array(f, np.int64)})
+                rows.append((np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)), len(h), first.view(np.int64), probe(h).tobytes(), simhash(fingerprint_hashes(t)) if fp else 0))
+            s, n, prefix, part, f = zip(*rows) if rows else ((), (), (), (), ())
+            yield pd.DataFrame({"k": b["k"], "i": b["i"], "s": np.array(s, np.int64), "n": np.array(n, np.int32), "prefix": pd.Series(prefix, dtype=object, index=b.index), "probe": pd.Series(part, dtype=object, index=b.index), "fp": np.array(f, np.int64)})
+            del rows, prefix, part, b
+            trim()
 
     return run
 
@@ -121,6 +143,15 @@ def _candidates(how: Copies):
     return run
 
 
+def _likely(how: Copies):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [may_be_similar(np.frombuffer(v, np.uint32), np.frombuffer(w, np.uint32), n, m, how) for v, w, n, m in zip(b["va"], b["vb"], b["na"], b["nb"])]
+            yield b.loc[np.array(ok, bool), ["a", "b"]]
+
+    return run
+
+
 def _verify(how: Copies):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -156,30 +187,44 @@ def _compare(how: Copies):
 
 
 def similar_links(reps: DataFrame, texts_of, how: Copies) -> DataFrame:
-    """(a, b): links that join all sets of reps (s, n, prefix) of enough similarity; texts_of gives (s, t) for a table of s."""
+    """(a, b): links that join all sets of reps (s, n, prefix, probe) of enough similarity; texts_of gives (s, t) for a table of s."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes(how.memory)
         for b in batches:
-            yield pd.DataFrame({"s": b["s"], "v": [shingle_set(t, how).tobytes() for t in b["t"]]})
+            yield pd.DataFrame({"s": b["s"], "v": [shingle_set(t, how, seen).tobytes() for t in b["t"]]})
+            trim()
+
+    def sets_of(who: DataFrame, name: str) -> DataFrame:
+        return stored(texts_of(who).mapInPandas(packed, "s long, v binary").groupBy("s").agg(F.first("v").alias("v")), name)
+
+    def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        for e in "ab":
+            pairs = pairs.join(of.select(F.col("s").alias(e), *[F.col(c).alias(f"{c}{e}") for c in columns]), e)
+        return pairs
 
     rows = reps.select("s", "n", F.posexplode("prefix").alias("p", "g"))
-    met = stored(rows.repartition("g").sortWithinPartitions("g").mapInPandas(_candidates(how), "a long, b long, g long, big boolean"), "copies-met")
-    pairs = stored(met.filter("not big").select("a", "b").distinct(), "copies-pairs")
-    who = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    sets = stored(texts_of(who).mapInPandas(packed, "s long, v binary").groupBy("s").agg(F.first("v").alias("v")), "copies-sets")
-    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("s").alias("b"), F.col("v").alias("vb")), "b")
-    links = stored(both.mapInPandas(_verify(how), "a long, b long"), "copies-links")
+    met = stored(rows.repartition("g").sortWithinPartitions("g", "s").mapInPandas(_candidates(how), "a long, b long, g long, big boolean"), "copies-met")
+    probes = reps.select("s", "n", F.col("probe").alias("v"))
+    pairs = stored(both(met.filter("not big").select("a", "b").distinct(), probes, "n", "v").select("a", "b", F.col("na"), F.col("nb"), F.col("va"), F.col("vb")).mapInPandas(_likely(how), "a long, b long"), "copies-pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "copies-sets")
+    links = stored(both(pairs, sets, "v").mapInPandas(_verify(how), "a long, b long"), "copies-links")
+    discard(sets)
     big = met.filter("big").select("g")
     if not big.count():
         return links
     parts = connected_components(links, "a", "b").select(F.col("node").alias("s"), "root")
     hot = stored(rows.join(big, "g").join(parts, "s", "left").select("g", "s", F.coalesce("root", "s").alias("label")), "copies-hot")
-    still = hot.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("g", "m")
+    still = stored(hot.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("g", "m"), "copies-still")
     k = F.ceil(F.col("m") / F.lit(how.chunk)).cast("int")
     own = F.pmod(F.xxhash64("s"), k).cast("int")
     pair = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("g", F.least(own, j), F.greatest(own, j)))
-    dealt = hot.join(still, "g").select(F.explode(pair).alias("g"), "s", "label").join(sets, "s")
-    return links.unionByName(stored(dealt.groupBy("g").applyInPandas(_compare(how), "a long, b long"), "copies-more"))
+    open_ = hot.join(still, "g")
+    sets = sets_of(open_.select("s").distinct(), "copies-open")
+    dealt = open_.select(F.explode(pair).alias("g"), "s", "label").join(sets, "s")
+    more = stored(dealt.groupBy("g").applyInPandas(_compare(how), "a long, b long"), "copies-more")
+    discard(sets, hot, met)
+    return links.unionByName(more)
 
 
 def _fingerprint_links(own: DataFrame) -> DataFrame:
@@ -200,22 +245,27 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     how = how or Copies()
     kind, one, text = docs.schema[id_col].dataType.simpleString(), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")
     key = F.md5(F.concat(F.coalesce(one, F.lit("")), F.lit("\0"), F.coalesce(text, F.lit(""))))
-    keyed = docs.withColumn("__key", key)
-    own = keyed.select(F.col("__key").alias("k"), one.alias("i"), text.alias("t"))
-    own = stored(own.mapInPandas(_prefixes(*_common(keyed, text_col, how), how, fingerprints), "k string, i string, s long, n int, prefix array<long>, fp long"), "copies")
+    key_col = free_name("__key", docs.columns)
+    keyed = docs.withColumn(key_col, key)
+    own = keyed.select(F.col(key_col).alias("k"), one.alias("i"), text.alias("t"))
+    own = stored(own.mapInPandas(_prefixes(*_common(own, how), how, fingerprints), "k string, i string, s long, n int, prefix array<long>, probe binary, fp long"), "copies")
     least = F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i").cast(kind).alias("i"), "k")).alias("least")
-    reps = stored(own.groupBy("s").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "copies-reps")
+    names = stored(own.groupBy("s").agg(least), "copies-names")
+    reps = stored(own.groupBy("s").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("probe").alias("probe")), "copies-reps")
+    fps = stored(own.select("s", "fp").distinct(), "copies-prints") if fingerprints else None
+    discard(own)
 
     def texts_of(who: DataFrame) -> DataFrame:
-        wanted = reps.join(who, "s").select(F.col("least.k").alias("__key"), "s")
-        return keyed.select("__key", text.alias("t")).join(wanted, "__key").select("s", "t")
+        wanted = names.join(who, "s").select(F.col("least.k").alias(key_col), "s")
+        return keyed.select(key_col, text.alias("t")).join(wanted, key_col).select("s", "t")
 
-    links = similar_links(reps.select("s", "n", "prefix"), texts_of, how)
+    links = similar_links(reps, texts_of, how)
+    discard(reps)
     if fingerprints:
-        links = links.unionByName(_fingerprint_links(own))
+        links = links.unionByName(_fingerprint_links(fps))
     parts = connected_components(links, "a", "b")
-    rooted = reps.select("s", "least").join(parts.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    stay = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("__key")), "copies-stay")
+    rooted = names.join(parts.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    stay = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias(key_col)), "copies-stay")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")
-    return keyed.join(stay, "__key", "left_semi").groupBy("__key").agg(row).select("r.*")
+    return keyed.join(stay, key_col, "left_semi").groupBy(key_col).agg(row).select("r.*")
