@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, clashing, documents, words
-from veilspark.llm.katz import Katz, discounts, katz_ask, katz_fit, katz_scores
+from veilspark.llm.katz import Katz, Radix, discounts, katz_ask, katz_fit, katz_scores
 from veilspark.llm.language import remainder
 
 LEARN = lambda r: zlib.crc32(str(r[0]).encode()) % 7 != 2
@@ -124,3 +124,16 @@ def test_empty_and_nothing_learned(spark):
 def test_ids_of_any_size(spark):
     big = (1 << 62) + 1
     assert {r["id"] for r in katz_scores(spark.createDataFrame([(big, "a", None, None, 1), (None, "b", None, None, 1)], DOCS), F.lit(True)).collect()} == {big, None}
+
+
+@pytest.mark.parametrize("buckets, fan", [(12, 256), (257, 256), (1728, 256), (300, 8), (65537, 256)])
+def test_radix_nodes_hold_about_as_much_as_a_block(buckets, fan):
+    """At every level the nodes that a block is split into are many enough: none gathers much more than a block asks."""
+    radix = Radix(buckets, fan, buckets, 1)
+    assert radix.width(radix.levels) == 1
+    above = buckets
+    for level in range(1, radix.levels + 1):
+        width = radix.width(level)
+        assert -(-above // width) <= fan + 1  # rows that a source is split into
+        assert buckets / radix.groups(level) * width / buckets <= 2.1  # blocks of a node: its sources by its share of the buckets
+        above = width

@@ -10,7 +10,7 @@ then for its 3-grams, each time as packed sorted arrays. What it asks goes by th
 (a history so frequent that it would fill one is dealt by n-gram, its sums shared). A bucket adds up what is
 brought to it and is stored as a row of that order's table. Where there are more buckets than `fan`, arrays pass
 through radix nodes that merge some `fan` of them and split the result by the next digit, so no level makes more
-than `fan` rows of a block, however many blocks and buckets there are; answers come back the same way. Nothing
+than `fan` rows of a block, however many blocks and buckets there are, and no node holds much more than a block; answers come back the same way. Nothing
 but sums and the frequent histories, whose number is bounded, comes to the driver.
 """
 
@@ -144,7 +144,8 @@ class Radix:
         return n
 
     def width(self, level: int) -> int:
-        return self.fan ** (self.levels - level)
+        """Buckets of a node. The first levels split as far as they may, so a node holds about as much as a source at every level."""
+        return -(-self.buckets // self.fan**level)
 
     def groups(self, level: int) -> int:
         return 1 if level == self.levels else max(1, -(-self.sources // self.fan**level))
