@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm.vectors import Graph, adjacency, build, near_vectors, robust_prune, search_shard, unit
+from veilspark.llm.vectors import Graph, adjacency, build, leads, near_vectors, robust_prune, search_shard, unit
 
 ROWS = "vec_id long, embedding array<float>, label int, id string, v string"
 
@@ -121,3 +121,24 @@ def test_hops_find_what_the_routing_misses(spark):
     y = x.astype(np.float64)
     y /= np.sqrt((y * y).sum(1))[:, None]
     assert part[0] <= part[8] <= brute(y, np.arange(900))[0].sum()
+
+
+def test_edges_too_long_for_a_range_lead_nowhere():
+    """A vector in whose range both ends of an edge are lies within one range of each: longer edges are no reason to go on."""
+    how = Graph()
+    low = how.threshold - how.slack
+    a = np.arccos(low)
+    angles = np.array([0.0, a, 1.99 * a, 2.01 * a, 3.0])
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    home = np.array([3, 4, 5, 6, 7])
+    lists = [np.array([1, 2, 3, 4]), np.array([0, 2, 3, 4])]
+    assert [to.tolist() for to in leads(x, home, lists, how)] == [[4, 5, -1, -1], [3, 5, 6, -1 if 3.0 - a > 2 * a else 7]]
+    rng = np.random.default_rng(2)
+    y = rng.normal(size=(400, 3))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    to = np.stack(leads(y, np.arange(400), [np.arange(400)] * 400, how))
+    sims = y @ y.T
+    for q in y[:40]:  # no edge between two vectors of a range is cut
+        near = np.flatnonzero(y @ q >= low)
+        assert (to[np.ix_(near, near)] >= 0).all()
+    assert (to < 0).any() and (sims[to < 0] < 2 * low * low - 1).all()

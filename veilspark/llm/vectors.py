@@ -5,8 +5,8 @@ second one; a cluster too large for a shard is parted again by centroids of its
 shards keep their size however many vectors there are. Each shard links its members to near neighbours, pruned so
 that no edge is made needless by a shorter one, and to some far ones. The adjacency lists of a vector's shards are joined.
 Every vector then searches the shards near it: greedily from the shard's medoids, then outward over everything in
-range; where an edge of what is in range leads to another shard that it hasn't searched, it goes on there. What
-is found is verified in double precision and counted in its home shard only, so no link counts twice. A sample
+range; where an edge of what is in range leads to another shard that it hasn't searched, it goes on there, unless the
+edge is too long for both its ends to be in range. What is found is verified in double precision and counted in its home shard only, so no link counts twice. A sample
 is audited against brute force after every round; below the recall asked for, the search is widened and repeated,
 and after the last widening all vectors are compared block by block.
 """
@@ -167,6 +167,13 @@ def greedy(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, q: np.ndarray, be
         nodes[live], sims[live], opened[live] = (np.take_along_axis(a, best, axis=1) for a in (all_nodes, all_sims, all_opened))
 
 
+def leads(x: np.ndarray, home: np.ndarray, lists: list[np.ndarray], how: Graph) -> list[np.ndarray]:
+    """The home shard of each neighbour, -1 where no vector has both ends of the edge in its range: angles to both add up to that between them at least."""
+    low = how.threshold - how.slack
+    least = 2 * low * low - 1 - 1e-9 if low > 0 else -np.inf
+    return [np.where(x[near] @ x[i] >= least, home[near], -1) for i, near in enumerate(lists)]
+
+
 def adjacency(ids: np.ndarray, shard: int, near: list, to: list, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The neighbours of each node of a shard by place, -1 where there are none; and (node, shard) of edges to home shards elsewhere. ids ascend."""
     lens = np.array([len(x) for x in near], np.int64)
@@ -343,7 +350,7 @@ def _one_dimension(reps: DataFrame, how: Graph) -> tuple[DataFrame, DataFrame]:
         p = p.sort_values("id")
         ids, at = p["id"].to_numpy(), p["at"].to_numpy()
         lists = build(_matrix(p["v"]), how)
-        return pd.DataFrame({"id": ids, "near": [ids[x] for x in lists], "to": [at[x] for x in lists]})
+        return pd.DataFrame({"id": ids, "near": [ids[x] for x in lists], "to": leads(_matrix(p["v"]), at, lists, how)})
 
     lists = members.groupBy("shard").applyInPandas(link, "id long, near array<long>, to array<long>")
     union = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "to")))).alias("e"))
