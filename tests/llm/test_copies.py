@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
 from tests.llm.helpers import DOCS, clashing, documents, prose, words
 from tests.llm.test_simhash import groups
+from veilspark.llm import copies
 from veilspark.llm.copies import Copies, keep_one_copy
 
 
@@ -66,3 +68,33 @@ def test_two_texts_of_one_id_are_two_documents(spark, tmp_path):
     got = P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (1, a), (2, b)]
     assert P.near_duplicates(spark, spark.createDataFrame([], DOCS), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("how", [Copies(small=3, chunk=8, dense=0), Copies(small=3, chunk=16, dense=1, shingle=2, similarity=0.6)])
+def test_dense_groups_against_brute_force(spark, how):
+    rng = random.Random(13)
+    base, rows = prose(rng, 60, 10**6), []
+    for j in range(60):  # about half of the pairs are similar
+        rows.append((j, near_copies(rng, base, rng.randint(1, 8)), "en", "s", 1))
+    shingles = [{tuple(words(r[1])[i : i + how.shingle]) for i in range(61 - how.shingle)} for r in rows]
+    links = [(i, j) for i, a in enumerate(shingles) for j, b in enumerate(shingles[:i]) if len(a & b) >= how.similarity * len(a | b) - 1e-9]
+    want = sorted(set(groups(range(len(rows)), links).values()))
+    got = keep_one_copy(spark.createDataFrame(rows, DOCS), how=how).collect()
+    assert sorted(r["doc_id"] for r in got) == want
+
+
+def test_texts_of_a_common_passage_are_not_read_as_a_whole(spark):
+    """Whole sets are for pairs that may be similar: what only shares a passage is told apart by a part of its shingles."""
+    rng, how = random.Random(17), Copies(small=3, chunk=8)
+    line = prose(rng, 20, 10**6)
+    texts = [line + " " + prose(rng, 60, 10**6) for _ in range(30)]
+    rows = spark.createDataFrame([(str(j), str(j), t) for j, t in enumerate(texts)], "k string, i string, t string")
+    own = rows.mapInPandas(copies._prefixes(np.empty(0, np.uint64), np.empty(0, np.int64), how, False), "k string, i string, s long, n int, prefix array<long>, probe binary, fp long").cache()
+    read = []
+
+    def texts_of(who):
+        read.append(who.count())
+        return own.join(who, "s").join(rows.select("k", "t"), "k").select("s", "t")
+
+    assert copies.similar_links(own.select("s", "n", "prefix", "probe"), texts_of, how).count() == 0
+    assert sum(read) == 0, read

@@ -5,7 +5,9 @@ n - ceil(t n) + 1 shingles, so every such pair meets under a shingle and none is
 first held against the part of their shingles that hash below a quarter of the range: where that part alone
 differs more than similar sets may, the pair is out, for certain. The rest is verified on the whole sets. Under a
 shingle of many texts a star and a chain are verified first; only where texts are still unconnected are all of
-them compared, in pairs of chunks.
+them compared, in pairs of chunks. Those too are compared by parts of their shingles, and only the texts of pairs that
+may be similar are verified as a whole; shingles of the same texts count once. Where most pairs of chunks may be
+similar, a forest of them is verified, and what that leaves unconnected is compared as whole sets, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import discard, free_name, stored, trim, words_of
+from veilspark.llm.common import discard, free_name, release, stored, trim, words_of
 from veilspark.llm.components import connected_components
 from veilspark.llm.simhash import fingerprint_hashes, near_links, simhash
 from veilspark.llm.sketch import WordHashes, shingle_hashes
@@ -38,6 +40,8 @@ class Copies:
     #: Texts under a shingle all pairs of which are candidates at once; texts of a chunk.
     small: int = 16
     chunk: int = 1024
+    #: Pairs for each text of two chunks up to which all that may be similar are verified one by one.
+    dense: int = 32
     #: Distinct words whose hashes a Python worker remembers.
     memory: int = 1 << 18
 
@@ -161,6 +165,45 @@ def _verify(how: Copies):
     return run
 
 
+def _alike(how: Copies):
+    """Pairs of a group with other labels that may be similar; where these are very many, a forest of them and a row with big."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.drop_duplicates("s").sort_values(["n", "s"]).reset_index(drop=True)
+        n, s, label, joined = p["n"].to_numpy(np.int64), p["s"].to_numpy(), p["label"].to_numpy(), p["label"].to_numpy().copy()
+        parts = [np.unique(np.frombuffer(v, np.uint32)) for v in p["v"]]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(size)
+        starts, at = ends - size, np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int32)
+        mark = np.zeros(at.max(initial=-1) + 1, bool)
+        most, pairs, forest = how.dense * len(p), [], []
+        held = 0
+        for i in range(1, len(p)):
+            first = int(np.searchsorted(n, needed(n[i], how)))
+            there = first + np.flatnonzero(label[first:i] != label[i])
+            if not len(there):
+                continue
+            own = at[starts[i] : ends[i]]
+            mark[own] = True
+            both = np.append(0, np.cumsum(mark[at[starts[first] : starts[i]]]))
+            mark[own] = False
+            both = both[ends[there] - starts[first]] - both[starts[there] - starts[first]]
+            near = there[size[there] + size[i] - 2 * both <= (1 - how.similarity) / (1 + how.similarity) * (n[there] + n[i]) + 1e-9]
+            held += len(near)
+            if held <= most:
+                pairs.extend((s[i], s[j]) for j in near)
+            for j in near:
+                if joined[j] != joined[i]:
+                    forest.append((s[i], s[j]))
+                    joined[joined == joined[j]] = joined[i]
+        found = np.sort(np.array(pairs if held <= most else forest, np.int64).reshape(-1, 2), axis=1)
+        out = pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "g": np.int64(0), "big": False})
+        big = pd.DataFrame({"a": [0], "b": [0], "g": [p["g"].iloc[0]], "big": [True]})
+        return out if held <= most else pd.concat([out, big])
+
+    return run
+
+
 def _compare(how: Copies):
     """Links that join all similar sets of a group whose labels differ."""
 
@@ -203,28 +246,50 @@ def similar_links(reps: DataFrame, texts_of, how: Copies) -> DataFrame:
             pairs = pairs.join(of.select(F.col("s").alias(e), *[F.col(c).alias(f"{c}{e}") for c in columns]), e)
         return pairs
 
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "copies-sets")
+        release(reps.sparkSession)
+        links = stored(both(pairs, sets, "v").mapInPandas(_verify(how), "a long, b long"), name)
+        discard(sets)
+        return links
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        parts = connected_components(links, "a", "b").select(F.col("node").alias("s"), "root")
+        return rows.join(parts, "s", "left").select("g", "s", F.coalesce("root", "s").alias("label"))
+
+    def unconnected(rows: DataFrame, *of: Column) -> DataFrame:
+        labels = rows.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), *of)
+        return labels.filter("lo < hi").drop("lo", "hi")
+
     rows = reps.select("s", "n", F.posexplode("prefix").alias("p", "g"))
     met = stored(rows.repartition("g").sortWithinPartitions("g", "s").mapInPandas(_candidates(how), "a long, b long, g long, big boolean"), "copies-met")
     probes = reps.select("s", "n", F.col("probe").alias("v"))
     pairs = stored(both(met.filter("not big").select("a", "b").distinct(), probes, "n", "v").select("a", "b", F.col("na"), F.col("nb"), F.col("va"), F.col("vb")).mapInPandas(_likely(how), "a long, b long"), "copies-pairs")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "copies-sets")
-    links = stored(both(pairs, sets, "v").mapInPandas(_verify(how), "a long, b long"), "copies-links")
-    discard(sets)
+    links = verified(pairs, "copies-links")
     big = met.filter("big").select("g")
     if not big.count():
         return links
-    parts = connected_components(links, "a", "b").select(F.col("node").alias("s"), "root")
-    hot = stored(rows.join(big, "g").join(parts, "s", "left").select("g", "s", F.coalesce("root", "s").alias("label")), "copies-hot")
-    still = stored(hot.groupBy("g").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("g", "m"), "copies-still")
+    hot = stored(labelled(rows.join(big, "g"), links), "copies-hot")
+    # shingles of the same texts are one group
+    who = [F.bit_xor(F.xxhash64("s", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    still = stored(unconnected(hot, *who).groupBy("m", "x0", "x1").agg(F.min("g").alias("g")).select("g", "m"), "copies-still")
     k = F.ceil(F.col("m") / F.lit(how.chunk)).cast("int")
     own = F.pmod(F.xxhash64("s"), k).cast("int")
     pair = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("g", F.least(own, j), F.greatest(own, j)))
-    open_ = hot.join(still, "g")
-    sets = sets_of(open_.select("s").distinct(), "copies-open")
-    dealt = open_.select(F.explode(pair).alias("g"), "s", "label").join(sets, "s")
-    more = stored(dealt.groupBy("g").applyInPandas(_compare(how), "a long, b long"), "copies-more")
-    discard(sets, hot, met)
-    return links.unionByName(more)
+    dealt = hot.join(still, "g").select(F.explode(pair).alias("g"), "s", "label")
+    alike = stored(dealt.join(probes, "s").groupBy("g").applyInPandas(_alike(how), "a long, b long, g long, big boolean"), "copies-alike")
+    release(reps.sparkSession)
+    links = links.unionByName(verified(alike.filter("not big").select("a", "b").distinct(), "copies-more"))
+    dense = alike.filter("big").select("g")
+    if dense.count():
+        left = stored(labelled(dealt.drop("label").join(dense, "g"), links), "copies-dense")
+        open_ = left.join(unconnected(left).select("g"), "g")
+        sets = sets_of(open_.select("s").distinct(), "copies-open")
+        release(reps.sparkSession)
+        links = links.unionByName(stored(open_.join(sets, "s").groupBy("g").applyInPandas(_compare(how), "a long, b long"), "copies-rest"))
+        discard(sets, left)
+    discard(hot, still, alike, met)
+    return links
 
 
 def _fingerprint_links(own: DataFrame) -> DataFrame:
