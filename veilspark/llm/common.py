@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import threading
 import time
 import uuid
 
@@ -115,17 +116,27 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_zstd = threading.local()  # contexts are costly to make and serve one thread
+
+
 def pack(values: np.ndarray) -> bytes:
     """A numeric array as compressed byte planes."""
+    if not hasattr(_zstd, "pack"):
+        _zstd.pack = zstandard.ZstdCompressor(level=1)
     a = np.ascontiguousarray(values)
     planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _zstd.pack.compress(np.ascontiguousarray(planes).data if len(a) else b"")
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    if not hasattr(_zstd, "unpack"):
+        _zstd.unpack = zstandard.ZstdDecompressor()
+    raw = np.frombuffer(_zstd.unpack.decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
+    out = np.empty((len(raw) // size, size), np.uint8)
+    for i, plane in enumerate(raw.reshape(size, -1)):
+        out[:, i] = plane
+    return out.view(dtype).reshape(-1)
 
 
 def pack_ints(values: np.ndarray) -> bytes:

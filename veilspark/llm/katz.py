@@ -22,11 +22,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import drop_path, new_path, pack, pack_ints, partitions, release, trim, unpack, unpack_ints, words_of
-from veilspark.llm.sketch import WordHashes
+from veilspark.llm.common import drop_path, new_path, pack, pack_ints, partitions, release, trim, unpack, unpack_ints
 
 #: Hash of no word: the end of a text.
 END = 0x2D06800538D394C2
@@ -48,6 +50,7 @@ class Katz:
     fan: int = 256
     #: Histories with over N / most_hot tokens may be dealt by the n-gram; their sums, at most most_hot, come to the driver.
     most_hot: int = 1_000_000
+    #: Words, of 16 bytes each, that are told apart at once before they are hashed; of whole texts.
     memory: int = 1 << 18
 
 
@@ -154,9 +157,9 @@ class Radix:
         """Rows for the nodes of a level; arrays[0] is the bucket, ascending."""
         prefix = arrays[0] // self.width(level)
         at = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(prefix) else np.empty(0, np.int64)
-        for s, e in zip(at, [*at[1:], len(prefix)]):
+        for s, cols in zip(at, freeze(arrays, self.keys, at)):
             node = int(prefix[s]) * self.groups(level) + src % self.groups(level)
-            yield {"node": node, "src": src, "cols": freeze([a[s:e] for a in arrays], self.keys)}
+            yield {"node": node, "src": src, "cols": cols}
 
 
 def by_rank(keys: int) -> list[int]:
@@ -164,41 +167,77 @@ def by_rank(keys: int) -> list[int]:
     return [0, *range(keys - 1, 0, -1), keys]
 
 
-def order_of(columns: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by non-negative columns, the first counting most; as many of them as fit are sorted as one number."""
-    packed: list[np.ndarray] = []
-    room = 0
-    for c in reversed(columns):
-        bits = max(1, int(c.max(initial=0)).bit_length())
-        if packed and room + bits <= 63:
-            packed[-1] = packed[-1] | (c << room)
-            room += bits
-        else:
-            packed.append(c)
-            room = bits
-    return np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed)
-
+def runs_of(columns: list[np.ndarray], ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (ids: their ascending ids, else their places) by non-negative columns, the first counting most, and which of them, so ordered, differ from the one before.
 
-def freeze(arrays: list[np.ndarray], keys: int) -> list[bytes]:
-    """Packed; of sorted columns the differences within rows that agree in the columns before."""
-    out, same = list(arrays), np.ones(max(0, len(arrays[0]) - 1), bool)
+    As many columns as fit are sorted as one number, with the row's id below them if there is room: sorting numbers takes
+    a sixth of the time that sorting their places takes. Of what is left the next columns are sorted with the rank so far.
+    """
+    n, left = len(columns[0]), list(columns)
+    order, new, rank = np.arange(n), np.zeros(n, bool), None
+    below = order if ids is None or len(left) > 2 else ids
+    new[:1] = True
+    while left:
+        key, bits = rank, 0 if rank is None else n.bit_length()
+        while left:
+            low, top = (int(left[0].min()), int(left[0].max())) if n else (0, 0)
+            width = (top - low).bit_length()
+            if width and bits + width > 63:
+                break
+            c = left.pop(0)
+            if width:
+                c = c.astype(np.int64, copy=False) - low if low else c.astype(np.int64, copy=False)
+                key, bits = c if key is None else (key << width) | c, bits + width
+        if key is None:  # nothing but constants
+            continue
+        room = int(below[-1]).bit_length() if n else 0
+        if left and key is rank:  # a column too wide to go with the rank
+            c = left.pop(0)
+            order = np.lexsort((c, rank))
+            c, key = c[order], rank[order]
+            new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
+        elif bits + room <= 63 and (not left or below is not ids):
+            key = np.sort((key << room) | below)
+            order, key = key & ((1 << room) - 1), key >> room
+            new[1:] = key[1:] != key[:-1]
+            if below is ids:
+                return order, new
+        else:
+            order = np.argsort(key)
+            key = key[order]
+            new[1:] = key[1:] != key[:-1]
+        if left:
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new) - 1
+    return order if ids is None else ids[order], new
+
+
+def freeze(arrays: list[np.ndarray], keys: int, at: np.ndarray) -> Iterator[list[bytes]]:
+    """Packed, the rows from each of at to the next; of sorted columns the differences within rows that agree in the columns before."""
+    out, same = list(arrays), np.ones(len(arrays[0]), bool)
+    same[at] = False
     for i in by_rank(keys):
         a = arrays[i]
-        out[i] = np.concatenate([a[:1], np.where(same, a[1:] - a[:-1], a[1:])])
-        same = same & (a[1:] == a[:-1])
-    return [pack_ints(x) for x in out]
-
-
-def thaw(cols, keys: int) -> list[np.ndarray]:
-    arrays = [unpack_ints(x) for x in cols]
+        out[i] = a.copy()
+        out[i][1:] -= np.where(same[1:], a[:-1], 0)
+        same[1:] &= a[1:] == a[:-1]
+    for s, e in zip(at, [*at[1:], len(same)]):
+        yield [pack_ints(x[s:e]) for x in out]
+
+
+def thaw(pieces: list, keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """What was packed, piece after piece, and the pieces' sizes."""
+    first = [unpack_ints(x[0]) for x in pieces]
+    sizes = np.array([len(x) for x in first])
+    arrays = [np.concatenate(first), *(np.concatenate([unpack_ints(x[i]) for x in pieces]) for i in range(1, len(pieces[0])))]
     new = np.zeros(len(arrays[0]), bool)  # rows that start anew in the column
-    new[:1] = True
+    new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     for i in by_rank(keys):
         sums = np.cumsum(arrays[i])
         at = np.flatnonzero(new)
         arrays[i] = sums - np.repeat(sums[at] - arrays[i][at], np.diff(np.append(at, len(new))))
         new[1:] |= arrays[i][1:] != arrays[i][:-1]
-    return arrays
+    return arrays, sizes
 
 
 ASK_SCHEMA = "node long, src long, cols array<binary>"
@@ -217,20 +256,15 @@ def _in_frames(rows: Iterator[dict], columns: list[str], most: int = 256) -> Ite
         yield pd.DataFrame(held, columns=columns)
 
 
-def merged(pieces: list[list[np.ndarray]], keys: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pieces (bucket, keys.., n, others..) in one: sorted distinct keys with n added up; the others are the same in all pieces where n
-    is not 0. Also the place of each row of each piece."""
-    arrays = [np.concatenate(x) for x in zip(*pieces)]
-    order = order_of([arrays[i] for i in by_rank(keys)])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for i in range(1, 1 + keys):
-        s = arrays[i][order]
-        new[1:] |= s[1:] != s[:-1]
+def merged(arrays: list[np.ndarray], keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows (bucket, keys.., n, others..) of many pieces: sorted distinct keys with n added up; the others are the same in all pieces where n
+    is not 0. Also the place of each row."""
+    order, new = runs_of([arrays[i] for i in by_rank(keys)])
     at = np.flatnonzero(new)
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    out = [a[order[at]] for a in arrays]
+    first = order[at]
+    out = [a[first] for a in arrays]
     out[1 + keys] = np.add.reduceat(arrays[1 + keys][order], at) if len(at) else arrays[1 + keys]
     return out, place
 
@@ -242,10 +276,9 @@ def _merge(radix: Radix, level: int, smooth: int, reply: bool):
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         trim()  # of the node before
-        pieces = [thaw(c, keys) for c in p["cols"]]
-        sizes = [len(x[0]) for x in pieces]
-        cols, place = merged(pieces, keys)
-        del pieces
+        arrays, sizes = thaw(list(p["cols"]), keys)
+        cols, place = merged(arrays, keys)
+        del arrays
         srcs, places = [], []
         for src, x in zip(p["src"], np.split(place, np.cumsum(sizes)[:-1])):
             if reply and src >= 0:
@@ -255,7 +288,7 @@ def _merge(radix: Radix, level: int, smooth: int, reply: bool):
         few = np.bincount(n[(n > 0) & (n <= smooth + 1)], minlength=smooth + 2)
         node = int(p["node"].iloc[0])
         part = node * PARTS // radix.buckets if level == radix.levels else node % PARTS
-        return pd.DataFrame([{"part": part, "node": node, "cols": freeze(cols, keys), "v": int((n > 0).sum()), "n": int(n.sum()), "few": few.tolist(), "srcs": srcs, "places": places}])
+        return pd.DataFrame([{"part": part, "node": node, "cols": next(freeze(cols, keys, np.zeros(1, np.int64))), "v": int((n > 0).sum()), "n": int(n.sum()), "few": few.tolist(), "srcs": srcs, "places": places}])
 
     return run
 
@@ -264,7 +297,7 @@ def _onward(radix: Radix, level: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for node, cols in zip(b["node"], b["cols"]):
-                yield from _in_frames(radix.split(thaw(cols, radix.keys), int(node), level), ["node", "src", "cols"])
+                yield from _in_frames(radix.split(thaw([cols], radix.keys)[0], int(node), level), ["node", "src", "cols"])
 
     return run
 
@@ -338,33 +371,68 @@ class Buckets:
 # ---- blocks ---------------------------------------------------------------------------------------------------
 
 
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words as UTF-8, the place in it of each text's words and, for its end, len of it; each text's tokens). As words_of has them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.dictionary_encode(lists.flatten())
+    codes, lens = words.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
+    if empty >= 0:  # beside white space at either end of a text
+        real = codes != empty
+        lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[real], minlength=len(lens))
+        codes = codes[real]
+    return words.dictionary, np.insert(codes, np.cumsum(lens), len(words.dictionary)), lens + 1
+
+
+def _slices(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts hold some most bytes."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(b.column("t")), 0).to_numpy().astype(np.int64)) // most
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    for s, e in zip(at, [*at[1:], len(part)]):
+        yield b.slice(s, e - s)
+
+
 def _blocks(how: Katz):
     """Rows (block, tokens, ids, nulls, lens, train, vocab, code, codes) of many documents: sorted word hashes, the code of each, the tokens' codes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, size = WordHashes(how.memory), 0
-        ids, train, tokens = [], [], []
-
-        def row() -> pd.DataFrame:
-            lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            vocab, codes, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        docs: list[tuple] = []  # ids, are they null, train, tokens of some documents, hashes of words, the tokens' places in these
+
+        def row() -> pa.RecordBatch:
+            ids, nulls, train, lens, hashes, codes = zip(*docs)
+            vocab, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            starts = np.cumsum([0, *map(len, hashes)])
+            codes = np.concatenate([place[s : s + len(x)][c] for s, x, c in zip(starts, hashes, codes)])
+            n = np.bincount(codes, minlength=len(vocab))
+            if not n.all():  # words of documents that went to another block
+                codes, vocab, n = (np.cumsum(n > 0) - 1)[codes], vocab[n > 0], n[n > 0]
             code = np.empty(len(vocab), np.uint32)  # of each word of vocab: by falling frequency, as that packs best
             code[np.argsort(-n, kind="stable")] = np.arange(len(vocab))
-            return pd.DataFrame([{"block": uuid.uuid4().int >> 65, "tokens": int(lens.sum()), "ids": pack_ints(np.array([i or 0 for i in ids], np.int64)), "nulls": pack(np.array([i is None for i in ids])), "lens": pack(lens), "train": pack(np.array(train, np.uint8)), "vocab": pack_ints(np.diff(vocab, prepend=0)), "code": pack(code), "codes": pack(code[codes])}])
+            r = [uuid.uuid4().int >> 65, len(codes), pack_ints(np.concatenate(ids)), pack(np.concatenate(nulls)), pack(np.concatenate(lens)), pack(np.concatenate(train)), pack_ints(np.diff(vocab, prepend=0)), pack(code), pack(code[codes])]
+            return pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in BLOCK_SCHEMA.split(", ")), r))], pa.schema([(c.split()[0], {"long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in BLOCK_SCHEMA.split(", ")]))
 
         for b in batches:
-            for key, text, t in zip(b["id"], b["t"], b["train"]):
-                words = words_of(text)
-                a = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-                tokens.append((np.append(a, np.uint64(END)) & np.uint64(MASK)).view(np.int64))
-                ids.append(None if pd.isna(key) else int(key))
-                train.append(bool(t))
-                size += len(words) + 1
-                if size >= how.block_tokens:
-                    yield row()
-                    ids, train, tokens, size = [], [], [], 0
-                    trim()
-        if tokens:
+            for part in _slices(b, 16 * how.memory):
+                words, codes, lens = _tokens(part.column("t"))
+                words = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+                hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.uint64(END))
+                hashes = (hashes & np.uint64(MASK)).view(np.int64)
+                ids, nulls = pc.fill_null(part.column("id"), 0).to_numpy(), part.column("id").is_null().to_numpy(zero_copy_only=False)
+                train = part.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
+                ends, s = np.cumsum(lens), 0
+                while s < len(lens):  # up to the document that fills the block
+                    done = ends[s - 1] if s else 0
+                    e = min(len(lens), int(np.searchsorted(ends, done + how.block_tokens - size)) + 1)
+                    docs.append((ids[s:e], nulls[s:e], train[s:e], lens[s:e], hashes, codes[done : ends[e - 1]]))
+                    size += int(ends[e - 1] - done)
+                    s = e
+                    if size >= how.block_tokens:
+                        yield row()
+                        size = 0
+                        docs.clear()
+                        trim()
+        if docs:
             yield row()
 
     return run
@@ -451,65 +519,68 @@ class Block:
 
     def __init__(self, r, fit: Fitted):
         self.fit, self.order = fit, 1
-        self.lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32).astype(np.int64)
+        self.lens, codes = unpack(r.lens, np.int64), unpack(r.codes, np.uint32)
         number, counts = unpack_ints(r.number), unpack_ints(r.counts)
         self.learned = np.repeat(unpack(r.train, np.uint8).astype(bool), self.lens)
         self.starts = np.cumsum(self.lens) - self.lens
         numbers = np.concatenate([number, [fit.top + 1, fit.top + 2]])  # the unknown words of the block, all 0, are never in an n-gram
-        self.by = np.argsort(numbers, kind="stable")
-        self.numbers = numbers[self.by]
-        rank = np.empty_like(self.by)
-        rank[self.by] = np.arange(len(rank))
+        by = np.argsort(numbers, kind="stable")
+        self.numbers = numbers[by]
+        rank = np.empty_like(by)
+        rank[by] = np.arange(len(rank))
         self.start = len(number) + 1  # as a rank it is the last, as an unknown word is the last but one
-        self.word = np.where(number > 0, rank[:-2], len(number))[codes]
-        self.cols, self.place = [np.arange(len(numbers))], self.word
-        self.c, self.t = np.concatenate([counts, [0, fit.hot]])[self.by], np.zeros(len(numbers), np.int64)
+        self.word = np.where(number > 0, rank[:-2], len(number)).astype(np.int32)[codes]  # as whole numbers of 32 bits more of them stay near the CPU
+        self.cols, self.place = [np.arange(len(numbers), dtype=np.int32)], self.word
+        self.c, self.t = np.concatenate([counts, [0, fit.hot]])[by], np.zeros(len(numbers), np.int64)
         self.c[self.numbers == 0] = 0
-        self.p = fit.uni.p(self.c[self.word])
+        self.p = fit.uni.p(self.c)[self.word]
 
-    def ask(self) -> list[np.ndarray]:
-        """The n-grams of the next order: bucket, n numbers, times learned, whether dealt by n-gram, count and total below."""
-        before = np.concatenate([[-1], self.place[:-1]])
+    def ask(self, send: bool = True) -> list[np.ndarray]:
+        """The n-grams of the next order; to send: bucket, n numbers, times learned, whether dealt by n-gram, count and total below."""
+        before = np.empty_like(self.place)
+        before[1:] = self.place[:-1]
         before[self.starts] = self.start if self.order == 1 else -1
-        asked = np.flatnonzero((before >= 0) & (self.c[before] > 0))
-        before, word = before[asked], self.word[asked]
-        hot = (self.c >= self.fit.hot).astype(np.int64)[before]
-        cols = [c[before] for c in self.cols] + [word]
-        mixed = _mixed([self.numbers[c] for c in self.cols]).view(np.int64)[before]  # of the history
-        if hot.any():
-            mixed = np.where(hot > 0, _mixed([mixed, self.numbers[word]]).view(np.int64), mixed)
-        bucket = _bucket_of(mixed, self.fit.buckets)
-        keys = len(cols)
-        order = order_of([[bucket, *cols][i] for i in by_rank(keys)])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        cols = [c[order] for c in cols]
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
+        asked = np.flatnonzero((self.c > 0)[before] & (before >= 0))
+        history = before[asked]
+        if self.order > 1:  # in the order that they are sorted by
+            rank = np.empty(len(self.cols[0]), np.int32)
+            rank[runs_of(self.cols[::-1])[0]] = np.arange(len(rank), dtype=np.int32)
+            history = rank[history]
+        order, new = runs_of([history, self.word[asked]], asked)
         at = np.flatnonzero(new)
-        place = np.cumsum(new) - 1
-        n = np.add.reduceat(self.learned[asked][order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
         first = order[at]
-        own = self.place[asked[first]]
-        below_c, below_t = self.c[own], self.t[own]
-        self.cols = [c[at] for c in cols]
-        self.place = np.full(len(self.place), -1)
-        self.place[asked[order]] = place
+        h, w = before[first], self.word[first]
+        mixed = _mixed([self.numbers[c] for c in self.cols]).view(np.int64)  # of the history
+        bucket = _bucket_of(mixed, self.fit.buckets).astype(np.uint16 if self.fit.buckets <= 1 << 16 else np.int64)[h]
+        hot = (self.c >= self.fit.hot)[h]
+        dealt = np.flatnonzero(hot)
+        if len(dealt):
+            bucket[dealt] = _bucket_of(_mixed([mixed[h[dealt]], self.numbers[w[dealt]]]).view(np.int64), self.fit.buckets)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        own = self.place[first][by] if send else None
+        self.place = np.full(len(self.place), -1, np.int32)
+        self.place[order] = np.repeat(place, np.diff(np.append(at, len(new))))
+        h, w = h[by], w[by]
+        self.cols = [*(c[h] for c in self.cols), w]
         self.order += 1
-        return [bucket[first], *[self.numbers[c] for c in self.cols], n, hot[first], below_c, below_t]
+        if not send:
+            return []
+        n = np.add.reduceat(self.learned[order], at, dtype=np.int64)[by] if len(at) else np.empty(0, np.int64)
+        return [bucket[by].astype(np.int64), *[self.numbers[c] for c in self.cols], n, hot[by].astype(np.int64), self.c[own], self.t[own]]
 
     def take(self, c: np.ndarray, t: np.ndarray, back: np.ndarray) -> None:
         """What was answered: counts, totals of the histories, and where the count is 0 their backoff weight."""
+        seen = np.append(kept(self.fit.d[self.order - 2], c) * factor(t), 0.0)
+        back = np.append(np.where(c > 0, 0.0, back.view(np.float64)), 1.0)
         self.c, self.t = np.append(c, 0), np.append(t, 0)
-        back = np.append(back.view(np.float64), 1.0)
-        count = self.c[self.place]
-        seen = kept(self.fit.d[self.order - 2], count) * factor(self.t[self.place])
-        self.p = np.where(self.place < 0, self.p, np.where(count > 0, seen, back[self.place] * self.p))
+        self.p = seen[self.place] + back[self.place] * self.p
 
     def retake(self, got) -> None:
         """All orders answered so far."""
         for i in range(0, len(got), 3):
-            self.ask()
+            self.ask(send=False)
             self.take(*map(unpack_ints, got[i : i + 3]))
 
 
@@ -528,7 +599,7 @@ def _ask_grams(radix: Radix, fit: Fitted):
 
 def _histories(r, fit: Fitted, order: int):
     """(count, history of each n-gram, sums of count, discounted count and p below of each history, its numbers, is it hot) of a bucket."""
-    cols = thaw(r.cols, order)
+    cols = thaw([r.cols], order)[0]
     hs, c, hot, below_c, below_t = cols[1:order], *cols[order + 1 :]
     new = np.zeros(len(c), bool)
     new[:1] = True
@@ -544,6 +615,8 @@ def _hot_sums(fit: Fitted, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
+                if not unpack_ints(r.cols[order + 2]).any():
+                    continue
                 _, _, sums, hs, hot = _histories(r, fit, order)
                 yield pd.DataFrame({"h": pd.Series([list(x) for x in zip(*[h[hot].tolist() for h in hs])], dtype=object), "c": sums[hot, 0], "kept": sums[hot, 1], "p": sums[hot, 2]})
 
@@ -629,7 +702,7 @@ def _run(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, how: K
         held.append(to)
         return spark.read.schema(df.schema).parquet(to)
 
-    blocks = cut(rows.mapInPandas(_blocks(how), BLOCK_SCHEMA), "katz-blocks")
+    blocks = cut(rows.mapInArrow(_blocks(how), BLOCK_SCHEMA), "katz-blocks")
     tokens, sources = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     buckets = base.fitted.buckets if base else max(partitions(spark), -(-tokens // how.bucket_tokens))
     radix = Radix(buckets, how.fan, sources, 1)
